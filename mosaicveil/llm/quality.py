@@ -92,18 +92,23 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, f
     return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
+def _scores(buf: np.ndarray, offs: np.ndarray, scalars: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of label 1 for each text."""
+    total, n = np.full(len(offs) - 1, float(scalars[END_FEATURE])), np.ones(len(offs) - 1)
+    for f, cut in _features(buf, offs):
+        summed = np.r_[0.0, np.cumsum(scalars[f], dtype=np.float64)]
+        total += summed[cut[1:]] - summed[cut[:-1]]
+        n += np.diff(cut)
+    return 1 / (1 + np.exp(-np.clip(total / n + bias, -700, 700)))
+
+
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scalars, bias = shared.value
         for batch in batches:
             for a, b, buf, offs in slices(batch.column(1)):
-                total, n = np.full(b - a, float(scalars[END_FEATURE])), np.ones(b - a)
-                for f, cut in _features(buf, offs):
-                    run_ = np.r_[0.0, np.cumsum(scalars[f], dtype=np.float64)]
-                    total += run_[cut[1:]] - run_[cut[:-1]]
-                    n += np.diff(cut)
-                score = 1 / (1 + np.exp(-np.clip(total / n + bias, -700, 700)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in range(batch.num_columns) if j != 1), pa.array(score)], [*(x for j, x in enumerate(batch.schema.names) if j != 1), "score"])
+                kept = [j for j in range(batch.num_columns) if j != 1]
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in kept), pa.array(_scores(buf, offs, scalars, bias))], [*(batch.schema.names[j] for j in kept), "score"])
 
     return run
 
@@ -133,5 +138,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Stage: documents predicted good stay, as they are."""
-    good = score(docs, fit(docs, labels)).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offs in slices(batch.column(place)):
+                yield batch.slice(a, b - a).filter(pa.array(_scores(buf, offs, *shared.value) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
