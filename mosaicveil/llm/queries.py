@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, licenses, minhash, packing, quality, secrets, urlfilter, vptree
+from . import ctw, decontaminate, licenses, minhash, packing, quality, secrets, suffixdedup, urlfilter, vptree
 from .common import read
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -49,6 +49,10 @@ def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
