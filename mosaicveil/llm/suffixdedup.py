@@ -8,7 +8,8 @@ Strings are judged on the input and do not cross documents. Five steps, each one
 2. Anchors seen once in the corpus are dropped. A hash that a slice of text has twice is sent once, so a passage that a third of all
    rows hold costs a row per slice here.
 3. For the rest, the stretch of text with all windows of that anchor (168 bytes at most) goes to a shard chosen by the anchor's hash;
-   equal stretches of a slice are sent once.
+   equal stretches of a slice are sent once, and a shard
+   keeps the earliest of equal ones.
 4. A shard (SHARD bytes at most) sorts its suffixes by Larsson-Sadakane refinement, the rank of place i + h splitting the groups
    that agree on h bytes; common prefixes follow by Kasai's lemma. Windows of a class, that is with common prefixes of LENGTH and
    more between them, all go but the earliest. A group larger than a shard is cut into several; each finds its windows in the suffix
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 from .textops import _BYTE, U64, mix, slices
 
-LENGTH, GRAM, SHARD, SPREAD = 100, 32, 3 << 20, 4
+LENGTH, GRAM, SHARD, SPREAD, CHUNK = 100, 32, 2 << 20, 4, 1 << 14
 _STEPS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD)]
 _SENT = "bucket long, kind int, fp binary, doc binary, seq binary, at binary, data binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -320,6 +321,30 @@ def _stretch(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+def _copies(buf: np.ndarray, start: np.ndarray, size: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Stretches equal, byte by byte, to an earlier one of the same digest."""
+    digest = fp.copy()
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.r_[U64(1), np.full(255 + LENGTH, _STEPS[0], U64)])
+        for x in range(0, len(fp), CHUNK):
+            own = size[x : x + CHUNK]
+            first = np.cumsum(own) - own
+            index = _stretch(start[x : x + CHUNK], own)
+            inner = np.arange(len(index)) - np.repeat(first, own)
+            digest[x : x + CHUNK] = mix(np.add.reduceat(_BYTE[buf[index]] * power[inner], first) + fp[x : x + CHUNK])
+    by = np.argsort(digest, kind="stable")
+    lead = np.maximum.accumulate(np.where(np.r_[True, digest[by][1:] != digest[by][:-1]], np.arange(len(by)), 0)) if len(by) else by
+    first = np.empty(len(fp), np.int64)
+    first[by] = by[lead]
+    copy = np.flatnonzero((first != np.arange(len(fp))) & (size == size[first]) & (fp == fp[first]))
+    parts = [copy[x : x + CHUNK] for x in range(0, len(copy), CHUNK)]
+    sure = []
+    for c in parts:
+        equal = buf[_stretch(start[c], size[c])] == buf[_stretch(start[first[c]], size[c])]
+        sure.append(c[np.logical_and.reduceat(equal, np.cumsum(size[c]) - size[c])])
+    return np.concatenate(sure) if sure else copy
+
+
 def _cut_stretches(n_buckets: int):
     """Step 3. kind 0: stretches for the shards; kind 1: runs of windows already known to go (at: first << 32 | windows)."""
 
@@ -333,20 +358,7 @@ def _cut_stretches(n_buckets: int):
             start = offs[_rows_of(key_doc, key_seq, doc, seq)] + (at >> 8)
             windows = at & 255
             size = windows + LENGTH - 1
-            index = _stretch(start, size)
-            with np.errstate(over="ignore"):
-                inner = np.arange(len(index)) - np.repeat(np.cumsum(size) - size, size)
-                power = np.cumprod(np.r_[U64(1), np.full(255 + LENGTH, _STEPS[0], U64)])
-                digest = mix(np.add.reduceat(_BYTE[buf[index]] * power[inner], np.cumsum(size) - size) + fp) if len(size) else fp
-            # equal stretches are compared byte by byte with the first of their digest
-            by = np.lexsort((np.arange(len(fp)), digest))
-            lead = np.maximum.accumulate(np.where(np.r_[True, digest[by][1:] != digest[by][:-1]], np.arange(len(by)), 0))
-            first = np.empty(len(fp), np.int64)
-            first[by] = by[lead]
-            copy = np.flatnonzero((first != np.arange(len(fp))) & (size == size[first]))
-            if len(copy):
-                equal = buf[_stretch(start[copy], size[copy])] == buf[_stretch(start[first[copy]], size[copy])]
-                copy = copy[np.logical_and.reduceat(equal, np.cumsum(size[copy]) - size[copy])]
+            copy = _copies(buf, start, size, fp)
             gone = np.zeros(len(fp), bool)
             gone[copy] = True
             keep_ = np.flatnonzero(~gone)
@@ -379,11 +391,18 @@ def _sort_shards(n_buckets: int, shard: int = SHARD):
         source = np.cumsum(size) - size
         order = np.lexsort((at, seq, doc, fp))
         fp, doc, seq, at, windows, size, source = (x[order] for x in (fp, doc, seq, at, windows, size, source))
+        out = []
+        copy = _copies(data, source, size, fp)
+        if len(copy):
+            out.append(join_runs(doc[copy], seq[copy], at[copy] >> 8, windows[copy]))
+            left = np.ones(len(fp), bool)
+            left[copy] = False
+            fp, doc, seq, at, windows, size, source = (x[left] for x in (fp, doc, seq, at, windows, size, source))
         # an anchor that occurs once among the distinct stretches here has nothing to meet
         new = np.r_[True, fp[1:] != fp[:-1]]
         many = ~(new & np.r_[new[1:], True])
         fp, doc, seq, at, windows, size, source = (x[many] for x in (fp, doc, seq, at, windows, size, source))
-        out, a = [], 0
+        a = 0
         group_end = np.r_[np.flatnonzero(np.r_[fp[1:] != fp[:-1]]) + 1, len(fp)] if len(fp) else np.zeros(0, np.int64)
         total = np.r_[0, np.cumsum(size)]
         shards: list[Shard] = []
@@ -464,7 +483,8 @@ def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
-    n = SPREAD * partitions(docs.sparkSession)
+    shards = partitions(docs.sparkSession)
+    n = SPREAD * shards
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     first = F.lit(-(1 << 63)).cast("long")
     if rows.groupBy("doc_id").count().where("count > 1 or doc_id = -9223372036854775808").limit(1).count():
@@ -473,12 +493,12 @@ def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     else:
         rows = rows.withColumn("seq", F.lit(1))
     rows = rows.select("doc_id", F.coalesce("doc_id", first).alias("doc"), "seq", "text")
-    told = rows.select("doc", "seq", "text").mapInArrow(_send_anchors(n), _SENT)
-    found = told.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(_match_anchors(n), _SENT)
+    told = rows.select("doc", "seq", "text").mapInArrow(_send_anchors(shards), _SENT)
+    found = told.repartition(shards, "bucket").mapInArrow(_match_anchors(n), _SENT)
     # the same bucket as _of_doc, so that texts and packed arrays meet
     texts = rows.mapInArrow(_place(n), "bucket long, doc_id long, doc long, seq int, text binary")
-    cut = found.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_cut_stretches(n), _SENT)
-    gone = cut.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_shards(n, shard), _SENT)
+    cut = found.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_cut_stretches(shards), _SENT)
+    gone = cut.repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_shards(n, shard), _SENT)
     return gone.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
