@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 from .textops import _BYTE, U64, mix, slices
 
-LENGTH, GRAM, SHARD, SPREAD, CHUNK = 100, 32, 2 << 20, 4, 1 << 14
+LENGTH, GRAM, SHARD, SPREAD, CHUNK, SEND = 100, 32, 2 << 20, 2, 1 << 14, 1 << 19
 _STEPS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD)]
 _SENT = "bucket long, kind int, fp binary, doc binary, seq binary, at binary, data binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -279,13 +279,20 @@ def _match_anchors(n_buckets: int):
     """Step 2: what is counted twice goes on to its document's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, known = [], []
+
+        def tell(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if parts:
+                fp, doc, seq, at = (np.concatenate(c) for c in zip(*parts))
+                if len(fp):
+                    yield _batch([*_split(_of_doc(doc, seq, n_buckets), 0, fp, doc, seq, at)])
+
         for batch in batches:
             kind = batch.column(1).to_numpy()
-            known = batch.filter(pa.array(kind == 1))
-            if known.num_rows:
-                fp, doc, seq, at = _columns(known)
-                yield _batch([*_split(_of_doc(doc, seq, n_buckets), 0, fp, doc, seq, at)])
+            known.append(_columns(batch.filter(pa.array(kind == 1))))
+            if sum(len(k[0]) for k in known) >= SEND:
+                yield from tell(known)
+                known = []
             held.append(_columns(batch.filter(pa.array(kind == 0))))
         if not held:
             return
@@ -296,8 +303,7 @@ def _match_anchors(n_buckets: int):
         new = np.r_[True, sorted_[1:] != sorted_[:-1]] if len(order) else np.zeros(0, bool)
         again = order[~(new & np.r_[new[1:], True])] if len(order) else order
         again = again[at[again] >= 0]
-        if len(again):
-            yield _batch([*_split(_of_doc(doc[again], seq[again], n_buckets), 0, fp[again], doc[again], seq[again], at[again])])
+        yield from tell([*known, (fp[again], doc[again], seq[again], at[again])])
 
     return run
 
@@ -379,12 +385,13 @@ def _cut_stretches(n_buckets: int):
 def _sort_shards(n_buckets: int, shard: int = SHARD):
     """Step 4: runs of windows to go, to their documents' buckets. Rows come by bucket, so a shard holds whole buckets or a share of one."""
 
-    def tell(parts) -> pa.RecordBatch | None:
-        d, s, f, n = (np.concatenate(c) for c in zip(*parts))
-        rows = [*_split(_of_doc(d, s, n_buckets), 0, np.zeros(len(d), U64), d, s, (f << 32) | n)]
-        return _batch(rows) if rows else None
+    def tell(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if parts:
+            d, s, f, n = (np.concatenate(c) for c in zip(*parts))
+            if len(d):
+                yield _batch([*_split(_of_doc(d, s, n_buckets), 0, np.zeros(len(d), U64), d, s, (f << 32) | n)])
 
-    def solve(parts: list) -> pa.RecordBatch | None:
+    def solve(parts: list) -> list[tuple]:
         fp, doc, seq, at, data = (np.concatenate(c) for c in zip(*parts))
         windows = at & 255
         size = windows + LENGTH - 1
@@ -428,26 +435,28 @@ def _sort_shards(n_buckets: int, shard: int = SHARD):
                     x = min(y, b)
                 out += [s.runs() for s in shards]
             a = b
-        return tell(out) if out else None
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_bytes, last = [], 0, None
+        held, held_bytes, last, found = [], 0, None, []
         for batch in batches:
             for row in batch.to_pylist():
+                fp, doc, seq, at = np.frombuffer(row["fp"], U64), np.frombuffer(row["doc"], np.int64), np.frombuffer(row["seq"], np.int32), np.frombuffer(row["at"], np.int64)
                 if row["kind"] == 1:
-                    d, s, p = np.frombuffer(row["doc"], np.int64), np.frombuffer(row["seq"], np.int32), np.frombuffer(row["at"], np.int64)
-                    if (got := tell([(d, s, p >> 32, p & 0xFFFFFFFF)])) is not None:
-                        yield got
+                    found.append((doc, seq, at >> 32, at & 0xFFFFFFFF))
                     continue
                 if last is not None and row["bucket"] != last and held_bytes >= shard:
-                    if (got := solve(held)) is not None:
-                        yield got
+                    found += solve(held)
                     held, held_bytes = [], 0
                 last = row["bucket"]
-                held.append((np.frombuffer(row["fp"], U64), np.frombuffer(row["doc"], np.int64), np.frombuffer(row["seq"], np.int32), np.frombuffer(row["at"], np.int64), np.frombuffer(row["data"], np.uint8)))
+                held.append((fp, doc, seq, at, np.frombuffer(row["data"], np.uint8)))
                 held_bytes += len(row["data"])
-        if held and (got := solve(held)) is not None:
-            yield got
+            if sum(len(f[0]) for f in found) >= SEND:
+                yield from tell(found)
+                found = []
+        if held:
+            found += solve(held)
+        yield from tell(found)
 
     return run
 
