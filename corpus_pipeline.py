@@ -1,7 +1,52 @@
-"""Pipeline over documents: quality, near duplicates, benchmark leaks, secrets, packing."""
-STAGES = []
+"""From documents to packed sequences: quality, near duplicates, benchmark leaks, secrets, packing.
+
+Each stage reads what the one before it wrote, a Parquet table with the columns of documents; the last returns pieces. Rows with a
+null id pass the near-duplicate stage as they are, null texts count as empty, and an empty table goes through empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mosaicveil.llm import decontaminate, minhash, packing, quality, secrets
+from mosaicveil.llm.common import keep, read
+from mosaicveil.llm.queries import tokenizer_path
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accept(docs, read(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near duplicates", one_of_each),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("packing", packed),
+]
+
+#: Learned models and tokens are out of SQL's reach; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

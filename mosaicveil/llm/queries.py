@@ -13,6 +13,12 @@ from .common import read
 TOKENIZER_FILE = "word_bpe_49k.json"
 
 
+def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -40,9 +46,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FILE))
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
