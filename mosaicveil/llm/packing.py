@@ -11,6 +11,7 @@ earlier row. An empty table gives no pieces. Extra columns are ignored.
 
 from __future__ import annotations
 
+import collections
 import json
 import re
 import unicodedata
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, END, SHARD_TOKENS, CACHE = 2048, 1, 4_000_000, 400_000
+CAPACITY, END, SHARD_TOKENS, CACHE = 2048, 1, 4_000_000, 600_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -46,9 +47,27 @@ class Encoder:
         shape = json.loads(self.tokenizer.to_str())
         self.splits = shape["model"].get("end_of_word_suffix") is not None and _SPLIT in json.dumps(shape["pre_tokenizer"]) and "Lowercase" in json.dumps(shape["normalizer"])
 
+        vocabulary, suffix = shape["model"]["vocab"], shape["model"].get("end_of_word_suffix") or "\0"
+        self.closing = np.zeros(max(vocabulary.values()) + 2 + len(shape["added_tokens"]), bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of each piece. Many go at once, a line each; a token that ends a piece is known by its suffix."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 512):
+            own = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(own):
+                raw, cut = ids.tobytes(), (4 * np.r_[0, ends]).tolist()
+                out += [raw[x:y] for x, y in zip(cut[:-1], cut[1:])]
+            else:
+                out += self._ids(own)
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list = [None] * len(texts)
         whole, split = [], []
@@ -58,12 +77,13 @@ class Encoder:
                 split.append((i, _PIECES.findall(t.lower())))
             else:
                 whole.append((i, t))
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list({w for _, words in split for w in words} - self.cache.keys())
-        for at in range(0, len(new), 4096):
-            self.cache.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096])))
-        get = self.cache.__getitem__
+        new = list(set().union(*(words for _, words in split)) - self.cache.keys())
+        found = dict(zip(new, self._pieces(new)))
+        if len(self.cache) < CACHE:
+            self.cache.update(found)
+            get = self.cache.__getitem__
+        else:  # commoner pieces came first; the rest is looked up again when it comes again
+            get = collections.ChainMap(self.cache, found).__getitem__ if found else self.cache.__getitem__
         for i, words in split:
             out[i] = b"".join(map(get, words)) + self.end
         for (i, _), ids in zip(whole, self._ids([t for _, t in whole])):
@@ -102,9 +122,14 @@ def assign(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR,
     return out
 
 
+#: A worker's encoder outlives its tasks, and so do the pieces it has looked up.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
 def _packer(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, ids, tokens = Encoder(path, end), [], [], 0
+        encoder = _ENCODERS.get((path, end)) or _ENCODERS.setdefault((path, end), Encoder(path, end))
+        held, ids, tokens = [], [], 0
         base = TaskContext.get().partitionId() << 36
 
         def flush() -> pa.RecordBatch:
