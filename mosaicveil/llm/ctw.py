@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import id_crc, keep
 from .textops import U64, mix, slices, word_bounds, word_hashes
 
-DEPTH, CAPACITY, FREQUENT = 5, 1 << 20, 1 << 20
+DEPTH, CAPACITY, FREQUENT = 5, 1 << 19, 1 << 19
 _START, _STOP = 0xFE, 0xFF  # bytes that UTF-8 does not use
 _END_TOKEN = U64(0x6A09E667F3BCC909)
 _HOLD = 12_000_000  # keys that a task holds before it counts them
@@ -110,10 +110,15 @@ class Lookup:
     """Open-addressed table from 64-bit keys to float columns."""
 
     def __init__(self, keys: np.ndarray, *columns: np.ndarray):
-        size = 1 << max(4, int(2 * len(keys) + 1).bit_length())
+        self.keys, self.columns, self.table = keys, columns, None
+
+    def __getstate__(self):  # the table is made where it is used
+        return {"keys": self.keys, "columns": self.columns, "table": None}
+
+    def _open(self) -> None:
+        keys, size = self.keys, 1 << max(4, int(2 * len(self.keys) + 1).bit_length())
         self.mask, self.table = U64(size - 1), np.full(size, _NONE, U64)
         self.row = np.zeros(size, np.int32)
-        self.columns = columns
         slot, todo = mix(keys) & self.mask, np.arange(len(keys))
         while len(todo):
             free = self.table[slot[todo]] == _NONE
@@ -125,6 +130,8 @@ class Lookup:
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, or -1."""
+        if self.table is None:
+            self._open()
         slot = mix(keys) & self.mask
         have = self.table[slot]
         out = np.where(have == keys, self.row[slot], -1)
@@ -266,7 +273,7 @@ def _scorer(shared, n_tokens: int, n_distinct: int, floor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, frequent, log_counts = shared.value
+        model, frequent = shared.value
         row = TaskContext.get().partitionId() << 36
         absent = np.log10(0.1 / (n_tokens + 0.1 * (n_distinct + 1)))
         for batch in batches:
@@ -277,7 +284,7 @@ def _scorer(shared, n_tokens: int, n_distinct: int, floor: int):
                 word, of = tokens(buf, offs)
                 place = frequent.rows(word)
                 known = place >= 0
-                base = np.bincount(of[known], log_counts[place[known]], n)
+                base = np.bincount(of[known], frequent.columns[0][place[known]], n)
                 rare, rows = word[~known], of[~known]
                 if floor <= 1:  # every training token is broadcast
                     base = base + absent * np.bincount(rows, minlength=n)
@@ -350,8 +357,8 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     floor = _least([(r.level, r.n) for r in sizes], frequent) if sizes else 1
     common = counts.where(F.col("n") >= floor).toPandas()
     denominator = n + 0.1 * (v + 1)
-    table = Lookup(common["key"].to_numpy(np.int64).view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((model, table, np.log10((common["n"].to_numpy(np.float64) + 0.1) / denominator)))
+    table = Lookup(common["key"].to_numpy(np.int64).view(np.uint64), np.log10((common["n"].to_numpy(np.float64) + 0.1) / denominator))
+    shared = docs.sparkSession.sparkContext.broadcast((model, table))
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
     scored = rows.mapInArrow(_scorer(shared, n, v, floor), kinds)
     if floor > 1:
