@@ -11,7 +11,6 @@ earlier row. An empty table gives no pieces. Extra columns are ignored.
 
 from __future__ import annotations
 
-import collections
 import json
 import re
 import unicodedata
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, END, SHARD_TOKENS, CACHE = 2048, 1, 4_000_000, 600_000
+CAPACITY, END, SHARD_TOKENS, CACHE = 2048, 1, 4_000_000, 1_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -77,13 +76,14 @@ class Encoder:
                 split.append((i, _PIECES.findall(t.lower())))
             else:
                 whole.append((i, t))
-        new = list(set().union(*(words for _, words in split)) - self.cache.keys())
-        found = dict(zip(new, self._pieces(new)))
-        if len(self.cache) < CACHE:
-            self.cache.update(found)
-            get = self.cache.__getitem__
-        else:  # commoner pieces came first; the rest is looked up again when it comes again
-            get = collections.ChainMap(self.cache, found).__getitem__ if found else self.cache.__getitem__
+        known = self.cache
+        every = set().union(*(words for _, words in split))
+        new = [w for w in every if w not in known]
+        here = dict(zip(new, self._pieces(new)))  # the pieces of these texts only: a small table is read faster
+        if len(known) < CACHE:  # commoner pieces come first; past that, rare ones are looked up again when they come again
+            known.update(here)
+        here.update((w, known[w]) for w in every if w in known)
+        get = here.__getitem__
         for i, words in split:
             out[i] = b"".join(map(get, words)) + self.end
         for (i, _), ids in zip(whole, self._ids([t for _, t in whole])):
@@ -141,8 +141,8 @@ def _packer(path: str, capacity: int, end: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in _PIECE.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 more = encoder.encode(part.column(1).to_pylist())
                 held += more
                 ids += part.column(0).to_pylist()
