@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc, keep
-from .textops import U64, mix, slices, word_bounds, word_hashes
+from .textops import U64, mix, slices, trim, word_bounds, word_hashes
 
 DEPTH, CAPACITY, FREQUENT = 5, 1 << 19, 1 << 19
 _START, _STOP = 0xFE, 0xFF  # bytes that UTF-8 does not use
 _END_TOKEN = U64(0x6A09E667F3BCC909)
-_HOLD = 12_000_000  # keys that a task holds before it counts them
+_HOLD = 3_000_000  # keys that a task holds before it counts them
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -83,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[kind][:] = [_merge(sums[kind])]
 
     for batch in batches:
-        for _, _, buf, offs in slices(batch.column(0)):
+        for _, _, buf, offs in slices(batch.column(0), 1 << 20):
             held[0].append(grams(buf, offs)[0])
             held[1].append(tokens(buf, offs)[0])
             for kind in (0, 1):
@@ -95,6 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind in (0, 1):
         settle(kind)
         yield from _emit(kind, sums[kind])
+    trim()
 
 
 def _emit(kind: int, parts: list) -> Iterator[pa.RecordBatch]:
@@ -277,7 +278,7 @@ def _scorer(shared, n_tokens: int, n_distinct: int, floor: int):
         row = TaskContext.get().partitionId() << 36
         absent = np.log10(0.1 / (n_tokens + 0.1 * (n_distinct + 1)))
         for batch in batches:
-            for a, b, buf, offs in slices(batch.column(1)):
+            for a, b, buf, offs in slices(batch.column(1), 1 << 20):
                 n = b - a
                 keys, first = grams(buf, offs)
                 score = np.add.reduceat(model.log2(keys), first) * np.log10(2)
@@ -309,6 +310,7 @@ def _scorer(shared, n_tokens: int, n_distinct: int, floor: int):
                     ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
                 )
                 row += n
+        trim()
 
     return run
 
