@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
-from .textops import _BYTE, U64, mix, slices
+from .textops import _BYTE, U64, mix, slices, trim
 
-LENGTH, GRAM, SHARD, SPREAD, CHUNK, SEND = 100, 32, 2 << 20, 2, 1 << 14, 1 << 19
+LENGTH, GRAM, SHARD, SPREAD, CHUNK, SEND = 100, 32, 3 << 19, 2, 1 << 13, 1 << 19
 _STEPS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD)]
 _SENT = "bucket long, kind int, fp binary, doc binary, seq binary, at binary, data binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -246,7 +246,7 @@ def _send_anchors(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, seqs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
-            for a, b, buf, offs in slices(batch.column(2), 8 << 20, 4096):
+            for a, b, buf, offs in slices(batch.column(2), 2 << 20, 4096):
                 row, fp, at, n = anchors(buf, offs)
                 if not len(fp):
                     continue
@@ -265,6 +265,7 @@ def _send_anchors(n_buckets: int):
                 more = np.flatnonzero(again)
                 rows += _split((mix(fp[more]) % U64(n_buckets)).astype(np.int64), 1, fp[more], doc[more], seq[more], packed[more])
                 yield _batch(rows)
+        trim()
 
     return run
 
@@ -304,6 +305,8 @@ def _match_anchors(n_buckets: int):
         again = order[~(new & np.r_[new[1:], True])] if len(order) else order
         again = again[at[again] >= 0]
         yield from tell([*known, (fp[again], doc[again], seq[again], at[again])])
+        del fp, doc, seq, at, order, sorted_, new, again, known
+        trim()
 
     return run
 
@@ -456,7 +459,9 @@ def _sort_shards(n_buckets: int, shard: int = SHARD):
                 found = []
         if held:
             found += solve(held)
+        held = []
         yield from tell(found)
+        trim()
 
     return run
 
