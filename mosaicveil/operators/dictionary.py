@@ -146,6 +146,8 @@ def _named(kind: pd.Series, value: pd.Series, names: pd.Series, brands: pd.Serie
     """Pseudonyms that follow the scope's names and brands."""
 
     def one(k, x, n, b, s):
+        if x is None:
+            return None
         n, b = ({p["token"]: p["fake"] for p in t} for t in (n, b))
         if k == "PERSON":
             return person(x, n)
@@ -176,12 +178,10 @@ def build(spans: DataFrame, salt: str, scope: str = "doc_id", v: Vocabulary = VO
     ids = F
     for t in ID_TYPES:
         ids = ids.when(kind == t, fakes.fake_key(t, F.col("_key"), salt, F.col("_id"), F.col("_pan")))
-    by_id = rows.where(kind.isin(*ID_TYPES)).withColumn("_made", ids).withColumn("pseudonym", fakes.put_back(value, F.col("_made"))).drop("_made")
-    by_name = rows.where(kind.isin("PERSON", "ORG", "EMAIL", "URL")).withColumn("pseudonym", _named(kind, value, "_names", "_brands", "_seed"))
-    shaped = F.when(kind == "DOB", fakes.fake_date(value, salt)).when(kind == "IP_ADDRESS", fakes.fake_ip(value, salt)).otherwise(fakes.fake_address(value, salt, v))
-    by_value = rows.where(kind.isin("DOB", "IP_ADDRESS", "ADDRESS")).withColumn("pseudonym", shaped)
-    done = by_id.unionByName(by_name).unionByName(by_value)
-    return done.select(scope, "type", F.col("value").alias("original"), "pseudonym", "ord")
+    shaped = F.when(kind == "DOB", fakes.fake_date(value, salt)).when(kind == "IP_ADDRESS", fakes.fake_ip(value, salt)).when(kind == "ADDRESS", fakes.fake_address(value, salt, v))
+    rows = rows.withColumn("_made", ids).withColumn("_named", _named(kind, F.when(kind.isin("PERSON", "ORG", "EMAIL", "URL"), value), "_names", "_brands", "_seed"))
+    made = F.when(kind.isin(*ID_TYPES), fakes.put_back(value, F.col("_made"))).when(kind.isin("PERSON", "ORG", "EMAIL", "URL"), F.col("_named")).otherwise(shaped)
+    return rows.select(scope, "type", value.alias("original"), made.alias("pseudonym"), "ord")
 
 
 # --- rewriting -----------------------------------------------------------------------------------------------------------------
@@ -248,8 +248,9 @@ def rewrite(texts: DataFrame, mapping: DataFrame, scope: str = "doc_id") -> Data
     """texts with every occurrence of its scope's originals replaced, and n_replaced; texts of other scopes pass unread."""
     whole = mapping.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("ord", "type", "original", "pseudonym"))).alias("_map"))
     rows = texts.join(whole, scope, "left")
-    changed = rows.where("_map is not null").withColumn("_r", _rewritten("text", "_map")).withColumn("text", F.col("_r.text")).withColumn("n_replaced", F.col("_r.n")).drop("_map", "_r")
-    return changed.unionByName(rows.where("_map is null").withColumn("n_replaced", F.lit(0)).drop("_map"))
+    rows = rows.withColumn("_r", _rewritten(F.when(F.col("_map").isNotNull(), F.col("text")), "_map"))
+    text, n = F.when(F.col("_map").isNotNull(), F.col("_r.text")).otherwise(F.col("text")), F.coalesce(F.col("_r.n"), F.lit(0))
+    return rows.withColumn("text", text).withColumn("n_replaced", n).drop("_map", "_r")
 
 
 def project(segments: list[tuple[int, str]], spans: list[tuple[int, int, str]]) -> list[tuple[int, str]]:
