@@ -338,16 +338,21 @@ def fit(docs: DataFrame, depth: int = DEPTH, capacity: int = CAPACITY) -> tuple[
     sizes = contexts.groupBy(F.floor(F.log2("total")).cast("int").alias("level")).agg(F.sum("n").alias("n")).collect()
     least = _least([(r.level, r.n) for r in sizes], capacity)
     kept = every.join(contexts.where((F.col("total") >= least) | (F.col("d") == 0)).select("d", "context"), ["d", "context"])
-    found = kept.select("d", "key", "n").toPandas()
+    found = kept.select("d", "key", "n").toArrow()
+    depths, every_key, every_n = (found[c].to_numpy() for c in ("d", "key", "n"))
+    del found
     entries = []
     for d in range(depth + 1):
-        own = found[found["d"] == d]
-        keys, n = own["key"].to_numpy(np.uint64), own["n"].to_numpy(np.int64)
+        own = depths == d
+        keys, n = every_key[own].astype(U64), every_n[own].astype(np.int64)
         order = np.argsort(keys)
         entries.append((keys[order], n[order]))
     while len(entries) > 1 and not len(entries[-1][0]):
         entries.pop()
-    return Model(entries), counts.where("kind = 1").select("key", "n")
+    del depths, every_key, every_n
+    model = Model(entries)
+    trim()
+    return model, counts.where("kind = 1").select("key", "n")
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -357,9 +362,11 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
     floor = _least([(r.level, r.n) for r in sizes], frequent) if sizes else 1
-    common = counts.where(F.col("n") >= floor).toPandas()
+    common = counts.where(F.col("n") >= floor).select("key", "n").toArrow()
     denominator = n + 0.1 * (v + 1)
-    table = Lookup(common["key"].to_numpy(np.int64).view(np.uint64), np.log10((common["n"].to_numpy(np.float64) + 0.1) / denominator))
+    table = Lookup(common["key"].to_numpy().astype(np.int64).view(U64), np.log10((common["n"].to_numpy().astype(np.float64) + 0.1) / denominator))
+    del common
+    trim()
     shared = docs.sparkSession.sparkContext.broadcast((model, table))
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
     scored = rows.mapInArrow(_scorer(shared, n, v, floor), kinds)
