@@ -31,7 +31,7 @@ KINDS = ("assign", "access", "hex", "format")
 _HINTS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
 
-SAMPLE, ALPHA, MARGIN, DEPTH = 400, 0.05, 0.5, 128
+SAMPLE, ALPHA, MARGIN, DEPTH = 400, 0.05, 0.2, 128
 _END = "$"
 
 Span = tuple[int, int, str]

@@ -45,10 +45,14 @@ def test_inferred_format_catches_like_and_leaves_words():
     rng = random.Random(2)
     made = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(32)) for _ in range(300)]
     a = X.infer(made[:200])
-    text = "plain words thethertionhereandthereagain12 and " + made[250].upper().lower() + " end"
-    fixed, spans = X.all_spans(text, [a])
-    start = text.index(made[250])
-    assert (start, start + 32, "format") in spans and len(spans) == 1 and not fixed
+    caught = 0
+    for token in made[200:]:
+        text = "plain words thethertionhereandthereagain12 and " + token + " end"
+        fixed, spans = X.all_spans(text, [a])
+        start = text.index(token)
+        assert not fixed and set(spans) <= {(start, start + 32, "format")}
+        caught += len(spans)
+    assert caught >= 90
     assert len(a.log) < 50
 
 
