@@ -9,8 +9,10 @@ one, has an empty set and is linked with nothing). One pass over the texts gives
   universal probe sequence (optimal densification),
 * 32 bands of 4 bins: two sets of similarity 0.75 miss each other in all bands with probability 5e-6.
 
-Documents of a bucket are compared with its smallest id only, a star, so a bucket of n costs n - 1 comparisons. Those that turn
-out to be unlike their centre form a star of their own in the next round. Each candidate is confirmed on the two full sets.
+Documents of a bucket are compared with its smallest id only, a star, so a bucket of n costs n - 1 comparisons. Buckets that then
+still hold several components form stars again, around members of their smallest components (outliers of a large group come first),
+CENTRES of them a round; a centre meets the members of other components whose sizes allow the similarity, and then leaves the
+bucket. So a bucket of n costs at most sum(CENTRES) * n comparisons. Each candidate is confirmed on the two full sets.
 Links are joined into components by alternating large and small stars.
 
 Repeated rows of one id count as the same vertex; null ids take part under no component (component_id null). Ties go to the
@@ -23,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, partitions
 from .textops import U64, mix, shingles, slices, word_bounds, word_hashes
 
-BINS, BANDS, ROUNDS, HOT = 128, 32, 2, 500
+BINS, BANDS, HOT = 128, 32, 500
+#: Centres of a bucket in each round.
+CENTRES = (1, 1, 2, 4, 8)
 _FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -152,28 +156,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return tall.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tall.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the classes of buckets (bucket, id, n), by stars around CENTRES[0], CENTRES[1], ... centres of a bucket."""
+    empty = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    links, checked, of = empty, empty, empty.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    for most in CENTRES:
+        state = buckets.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("centre"))
+        several = parts.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "centre.id"))
+        centres = parts.withColumn("place", place).where(F.col("place") <= most).join(several, "bucket", "left_semi")
+        centres = keep(centres.select("bucket", F.col("centre.id").alias("c"), F.col("centre.n").alias("c_n"), F.col("component").alias("c_component")), "centres")
+        state = keep(state.join(centres.select("bucket").distinct(), "bucket", "left_semi"), "buckets")
+        spokes = state.join(centres, "bucket").where(F.col("component") != F.col("c_component")).where(100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n"))
+        pairs = spokes.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+        verdicts = keep(confirm(pairs, texts, percent), "links")
+        checked, new = checked.unionByName(verdicts.select("a", "b")), verdicts.where("linked").select("a", "b")
+        links = links.unionByName(new)
+        of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
+        buckets = state.join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (columns doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = keep(docs.mapInArrow(_sketches, _FEATURES), "sketches")
     usable = rows.where("doc_id is not null and n_shingles > 0")
     classes = keep(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.first("text").alias("text")) if _repeats(rows) else docs.where("doc_id is not null")
-    found, checked = [], None
-    for _ in range(ROUNDS):
-        stars = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        spokes = keep(buckets.join(stars, "bucket").where("id <> a").select("bucket", "a", F.col("id").alias("b")), "spokes")
-        pairs = spokes.select("a", "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        verdicts = keep(confirm(pairs, texts, percent), "links")
-        checked = verdicts if checked is None else checked.unionByName(verdicts)
-        found.append(verdicts.where("linked").select("a", "b"))
-        buckets = spokes.join(verdicts.where("not linked"), ["a", "b"], "left_semi").select(F.col("b").alias("id"), "bucket")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+    links = _links(classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), texts, percent)
     # rows of one id with different texts are one vertex
     same = usable.join(classes.drop("bands"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
     if _repeats(rows):
@@ -194,5 +206,10 @@ def _repeats(rows: DataFrame) -> bool:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Stage: of each group of near-duplicates the smallest id stays, once; rows without an id stay."""
-    marks = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(marks, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    marks = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    stay = docs.join(marks, "doc_id", "left_semi")
+    if marks.where("n > 1").limit(1).count():  # rows of one id are one vertex: the one of the smallest text stays
+        place = next(f"_place{k}" for k in range(len(docs.columns) + 1) if f"_place{k}" not in docs.columns)
+        order = Window.partitionBy("doc_id").orderBy("text")
+        stay = stay.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -73,6 +73,25 @@ def test_one_stays_of_each_group(spark):
     text = " ".join(f"w{k}" for k in range(80))
     df = spark.createDataFrame([(2, text, "x"), (1, text + " more", "y"), (3, "alone", "z")], "doc_id long, text string, note string")
     assert sorted(r.doc_id for r in minhash.one_of_each(df).collect()) == [1, 3]
+    twice = df.unionByName(df).unionByName(spark.createDataFrame([(1, "another text", "w"), (None, text, "v")], df.schema))
+    assert sorted((r.doc_id or 0) for r in minhash.one_of_each(twice).collect()) == [0, 1, 3]
+
+
+def test_groups_of_loosely_like_texts_equal_brute_force(spark):
+    """Variants of a few texts: within a bucket many are unlike its smallest id, and chains join them."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for k in range(60):
+            words = list(base)
+            for place in rng.choice(120, rng.integers(1, 7), replace=False):
+                words[place] = f"x{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute([(int(i), t) for i, t in rows])
 
 
 def test_densified_bins_agree_with_similarity():
