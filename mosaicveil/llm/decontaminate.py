@@ -9,7 +9,7 @@ not add up to 1 are passed over, the items of the others are scored, and those t
 item's five-word shingles occur in the passage, and half of those of its question (all words but the answer's) and of its
 answer (its last quarter, five words at least).
 
-The index is broadcast in groups of at most GROUP_BYTES of item text. Null and empty texts are never contaminated; repeated ids
+The index is broadcast in groups of about GROUP_BYTES of item text, each of at most MOST_BLOCKS blocks, so its maxima have a bound too. Null and empty texts are never contaminated; repeated ids
 are judged row by row, items with a null id or under five words are left out; an empty benchmark leaves every row clean.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .textops import _STEP, U64, mix, slices, word_bounds, word_hashes
 
-K1, B, BLOCK, SHARE, PART, GROUP_BYTES = 1.2, 0.75, 8, 0.75, 0.5, 16 << 20
+K1, B, BLOCK, MOST_BLOCKS, SHARE, PART, GROUP_BYTES = 1.2, 0.75, 8, 256, 0.75, 0.5, 4 << 20
 
 
 def _words(text: str) -> np.ndarray:
@@ -51,6 +51,7 @@ class Index:
     first: np.ndarray  # of each term's postings
     items: np.ndarray  # postings by term, then item
     impacts: np.ndarray
+    block: int  # items of a block
     maxima: np.ndarray  # terms x blocks
     whole: list[np.ndarray]  # distinct shingles of each item
     question: list[np.ndarray]
@@ -78,12 +79,13 @@ class Index:
         at, item, impact = (np.concatenate(x) for x in zip(*posts))
         order = np.lexsort((item, at))
         at, item, impact = at[order], item[order], impact[order]
-        maxima = np.zeros((len(terms), -(-len(docs) // BLOCK)), np.float32)
-        np.maximum.at(maxima, (at, item // BLOCK), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
+        block = max(BLOCK, -(-len(docs) // MOST_BLOCKS))
+        maxima = np.zeros((len(terms), -(-len(docs) // block)), np.float32)
+        np.maximum.at(maxima, (at, item // block), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
         cut = [max(5, -(-len(w) // 4)) for _, w in docs]
         question = [np.unique(_grams(w[: len(w) - c])) for (_, w), c in zip(docs, cut)]
         answer = [np.unique(_grams(w[len(w) - c :])) for (_, w), c in zip(docs, cut)]
-        return Index(np.array([i for i, _ in docs], np.int64), terms, np.searchsorted(at, np.arange(len(terms) + 1)), item, impact, maxima, whole, question, answer, max(len(w) for _, w in docs))
+        return Index(np.array([i for i, _ in docs], np.int64), terms, np.searchsorted(at, np.arange(len(terms) + 1)), item, impact, block, maxima, whole, question, answer, max(len(w) for _, w in docs))
 
     def candidates(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(passage, item) that reach the threshold, from the distinct (passage, term) pairs in order of passage."""
@@ -103,7 +105,7 @@ class Index:
             t = term[first[q] : stop[q]]
             spans = self.first[t], self.first[t + 1]
             places = np.concatenate([np.arange(x, y) for x, y in zip(*spans)])
-            wanted = np.isin(self.items[places] // BLOCK, block[p == q])
+            wanted = np.isin(self.items[places] // self.block, block[p == q])
             total = np.bincount(self.items[places[wanted]], self.impacts[places[wanted]], len(self.ids))
             hits = np.flatnonzero(total >= 1)
             out_p += [here[q]] * len(hits)
@@ -154,29 +156,31 @@ def _finder(shared):
             for a, b, buf, offs in slices(batch.column(1)):
                 chunks, found = _search(shared.value, buf, offs)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(chunks.astype(np.int64)), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found])],
-                    ["doc_id", "n_passages", "item_ids", "overlap"],
+                    [batch.column(0).slice(a, b - a), pa.array(chunks.astype(np.int64)), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found], pa.float64()), batch.column(2).slice(a, b - a)],
+                    ["doc_id", "n_passages", "item_ids", "overlap", "digest"],
                 )
 
     return run
 
 
-def _groups(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark in groups whose text has a bounded size, one group at a time on the driver."""
+def _groups(items: DataFrame, most_bytes: int | None = None) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many groups of bounded text size the benchmark has, and the groups, one at a time on the driver."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // GROUP_BYTES))
-    for g in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g).collect()]
+    n = max(1, -(-int(size) // (most_bytes or GROUP_BYTES)))
+    return n, ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g).collect()] for g in range(n))
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, most_bytes: int | None = None) -> DataFrame:
     """doc_id, contaminated, item_ids, overlap, n_passages for each row of docs (doc_id, text)."""
     rows, parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
-    for group in _groups(items):
+    n, groups = _groups(items, most_bytes)
+    # only needed to bring the results of several groups together, row by row
+    rows = rows.withColumn("digest", F.sha2("text", 256) if n > 1 else F.lit(None).cast("string"))
+    for group in groups:
         index = Index.build(group)
         if index is not None:
-            parts.append(rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(index)), "doc_id long, n_passages long, item_ids array<long>, overlap double"))
+            parts.append(rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(index)), "doc_id long, n_passages long, item_ids array<long>, overlap double, digest string"))
     if not parts:
         out = rows.select("doc_id", F.lit(0).cast("long").alias("n_passages"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     elif len(parts) == 1:
@@ -185,14 +189,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         out = parts[0]
         for more in parts[1:]:
             out = out.unionByName(more)
-        out = out.groupBy("doc_id").agg(F.max("n_passages").alias("n_passages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("overlap").alias("overlap"))
+        found = F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids"))))
+        out = out.groupBy("doc_id", "digest").agg(F.max("n_passages").alias("n_passages"), found.alias("item_ids"), F.max("overlap").alias("overlap"), (F.count("*") / len(parts)).cast("int").alias("rows"))
+        out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap", "n_passages")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Stage: rows without a leaked item stay, as they are."""
     place = docs.columns.index("text")
-    for group in _groups(items):
+    for group in _groups(items)[1]:
         index = Index.build(group)
         if index is not None:
             docs = docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(index), place), docs.schema)

@@ -40,6 +40,10 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 2, 3, 5, 6, 7]
     assert decontaminate.leaks(docs, bench.where("false")).where("contaminated").count() == 0
     assert decontaminate.leaks(docs.where("false"), bench).count() == 0
+    # groups of a few items, repeated rows: as many rows, the same verdicts
+    twice, more = docs.unionByName(docs), bench.unionByName(spark.createDataFrame([(9, "one two three four five six")], bench.schema))
+    rows = sorted((r.doc_id, r.contaminated, list(r.item_ids), r.n_passages) for r in decontaminate.leaks(twice, more, most_bytes=40).collect())
+    assert len(rows) == 16 and rows[::2] == rows[1::2] and [k for k, v, *_ in rows[::2] if v] == [0, 4]
 
 
 def test_leaks_equal_brute_force(spark, sf):
