@@ -11,8 +11,8 @@ one, has an empty set and is linked with nothing). One pass over the texts gives
 
 Documents of a bucket are compared with its smallest id only, a star, so a bucket of n costs n - 1 comparisons. Buckets that then
 still hold several components form stars again, around members of their smallest components (outliers of a large group come first),
-CENTRES of them a round; a centre meets the members of other components whose sizes allow the similarity, and then leaves the
-bucket. So a bucket of n costs at most sum(CENTRES) * n comparisons. Each candidate is confirmed on the two full sets.
+CENTRES of them a round; a centre meets the members of other components whose sizes and bitmaps (1024 bits of shingle hashes; a bound that no
+like pair fails) allow the similarity, and then leaves the bucket. So a bucket of n costs at most sum(CENTRES) * n comparisons. Each candidate is confirmed on the two full sets.
 Links are joined into components by alternating large and small stars.
 
 Repeated rows of one id count as the same vertex; null ids take part under no component (component_id null). Ties go to the
@@ -21,6 +21,7 @@ smaller id. Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import keep, partitions
 from .textops import U64, mix, shingles, slices, word_bounds, word_hashes
 
-BINS, BANDS, HOT = 128, 32, 500
+BINS, BANDS, BITS, HOT = 128, 32, 1024, 500
 #: Centres of a bucket in each round.
 CENTRES = (1, 1, 2, 4, 8)
-_FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
 
 def _probe(bins: int, tries: int) -> np.ndarray:
@@ -58,7 +59,7 @@ def densify(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, rows: np.ndarray, n: int, bins: int = BINS, bands: int = BANDS):
-    """Set sizes, two digests and band hashes of n rows (256 at most) from their shingles."""
+    """Set sizes, two digests, band hashes and bitmaps of n rows (256 at most) from their shingles."""
     key = np.sort((rows.astype(U64) << U64(56)) | (hashes >> U64(8)))
     if len(key):
         key = key[np.r_[True, key[1:] != key[:-1]]]
@@ -74,6 +75,9 @@ def sketch(hashes: np.ndarray, rows: np.ndarray, n: int, bins: int = BINS, bands
             digest[1, some] = np.add.reduceat(mix(low ^ U64(0xA5A5A5A55A5A5A5A)), at)
         shift = U64(56 - (bins - 1).bit_length())
         slot = (row * bins) + (low >> shift).astype(np.int64)
+        seen = np.zeros((n, BITS), bool)
+        seen[row, (low & U64(BITS - 1)).astype(np.int64)] = True
+        bits = np.packbits(seen, axis=1, bitorder="little").view(np.int64)
         first = np.r_[True, slot[1:] != slot[:-1]] if len(slot) else np.zeros(0, bool)
         values, filled = np.zeros(n * bins, U64), np.zeros(n * bins, bool)
         values[slot[first]], filled[slot[first]] = low[first] & ((U64(1) << shift) - U64(1)), True
@@ -81,7 +85,7 @@ def sketch(hashes: np.ndarray, rows: np.ndarray, n: int, bins: int = BINS, bands
         band = np.broadcast_to(np.arange(1, bands + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (n, bands)).copy()
         for j in range(dense.shape[2]):
             band = mix(band * U64(31) + dense[:, :, j] + U64(j + 1))
-    return size, digest, band
+    return size, digest, band, bits
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +93,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
         for a, b, buf, offs in slices(batch.column(1)):
             starts, ends, rows = word_bounds(buf, offs)
-            size, digest, band = sketch(*shingles(word_hashes(buf, starts, ends), rows, b - a), b - a)
+            size, digest, band, bits = sketch(*shingles(word_hashes(buf, starts, ends), rows, b - a), b - a)
             lists = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * BANDS, pa.array(band.astype(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size.astype(np.int64)), *(pa.array(d.astype(np.int64)) for d in digest), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            marks = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * (BITS // 64), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size.astype(np.int64)), *(pa.array(d.astype(np.int64)) for d in digest), lists, marks], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
 
 def _distinct_sets(texts: list) -> list[np.ndarray]:
@@ -156,8 +161,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return tall.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tall.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the classes of buckets (bucket, id, n), by stars around CENTRES[0], CENTRES[1], ... centres of a bucket."""
+def _possible(percent: int):
+    """Whether two sets can be alike, from sizes and bitmaps: a bit that only one set has is an element that only it has."""
+    alone = lambda x, y: functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS // 64)])
+    common = F.least(F.col("n") - alone("bits", "c_bits"), F.col("c_n") - alone("c_bits", "bits"))
+    return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("c_n")))
+
+
+def _links(buckets: DataFrame, bits: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the classes of buckets (bucket, id, n), with bits of each id, by stars around CENTRES[0], CENTRES[1], ... centres of a bucket."""
     empty = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     links, checked, of = empty, empty, empty.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for most in CENTRES:
@@ -167,8 +179,9 @@ def _links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "centre.id"))
         centres = parts.withColumn("place", place).where(F.col("place") <= most).join(several, "bucket", "left_semi")
         centres = keep(centres.select("bucket", F.col("centre.id").alias("c"), F.col("centre.n").alias("c_n"), F.col("component").alias("c_component")), "centres")
-        state = keep(state.join(centres.select("bucket").distinct(), "bucket", "left_semi"), "buckets")
-        spokes = state.join(centres, "bucket").where(F.col("component") != F.col("c_component")).where(100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n"))
+        state = keep(state.join(centres.select("bucket").distinct(), "bucket", "left_semi").join(bits, "id"), "buckets")
+        centres = keep(centres.join(bits.withColumnRenamed("id", "c").withColumnRenamed("bits", "c_bits"), "c"), "centres")
+        spokes = state.join(centres, "bucket").where(F.col("component") != F.col("c_component")).where(_possible(percent))
         pairs = spokes.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
         verdicts = keep(confirm(pairs, texts, percent), "links")
         checked, new = checked.unionByName(verdicts.select("a", "b")), verdicts.where("linked").select("a", "b")
@@ -183,11 +196,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = keep(docs.mapInArrow(_sketches, _FEATURES), "sketches")
     usable = rows.where("doc_id is not null and n_shingles > 0")
-    classes = keep(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = keep(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.first("text").alias("text")) if _repeats(rows) else docs.where("doc_id is not null")
-    links = _links(classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), texts, percent)
+    links = _links(classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), classes.select(F.col("rep").alias("id"), "bits"), texts, percent)
     # rows of one id with different texts are one vertex
-    same = usable.join(classes.drop("bands"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
+    same = usable.join(classes.drop("bands", "bits"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
     if _repeats(rows):
         links = links.unionByName(same.where("a <> b").select("a", "b"))
         of = components(links).select(F.col("id").alias("doc_id"), "component")

@@ -94,9 +94,26 @@ def test_groups_of_loosely_like_texts_equal_brute_force(spark):
     assert got == brute([(int(i), t) for i, t in rows])
 
 
+def test_bitmaps_never_refuse_a_like_pair(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for k in range(256):
+        n, cut = int(rng.integers(1, 90)), int(rng.integers(0, 30))
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.r_[a[min(cut, n - 1) :], rng.integers(0, 2**63, int(rng.integers(0, 20)), dtype=np.uint64)]
+        size, _, _, bits = minhash.sketch(np.r_[a, b], np.r_[np.zeros(len(a), int), np.ones(len(b), int)], 2)
+        both = len(np.intersect1d(a, b))
+        want.append(100 * both >= 75 * (len(a) + len(b) - both))
+        rows.append((k, int(size[0]), bits[0].tolist(), int(size[1]), bits[1].tolist()))
+    df = spark.createDataFrame(rows, "k long, n long, bits array<long>, c_n long, c_bits array<long>")
+    passed = {r.k for r in df.where(minhash._possible(75)).collect()}
+    like = {k for k, w in enumerate(want) if w}
+    assert like and like <= passed and len(passed) < len(like) + 60
+
+
 def test_densified_bins_agree_with_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 60, dtype=np.uint64)
     rows = np.r_[np.zeros(60, int), np.ones(60, int)]
-    size, digest, band = minhash.sketch(np.r_[a, a], rows, 2)
+    size, digest, band, _ = minhash.sketch(np.r_[a, a], rows, 2)
     assert size.tolist() == [60, 60] and (digest[:, 0] == digest[:, 1]).all() and (band[0] == band[1]).all()
