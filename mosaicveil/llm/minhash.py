@@ -12,7 +12,8 @@ one, has an empty set and is linked with nothing). One pass over the texts gives
 Documents of a bucket are compared with its smallest id only, a star, so a bucket of n costs n - 1 comparisons. Buckets that then
 still hold several components form stars again, around members of their smallest components (outliers of a large group come first),
 CENTRES of them a round; a centre meets the members of other components whose sizes and bitmaps (1024 bits of shingle hashes; a bound that no
-like pair fails) allow the similarity, and then leaves the bucket. So a bucket of n costs at most sum(CENTRES) * n comparisons. Each candidate is confirmed on the two full sets.
+like pair fails) allow the similarity, and then leaves the bucket. In a last round without a cap every member outside a bucket's largest
+component is a centre, so no two documents of a bucket stay apart untested. Each candidate is confirmed on the two full sets.
 Links are joined into components by alternating large and small stars.
 
 Repeated rows of one id count as the same vertex; null ids take part under no component (component_id null). Ties go to the
@@ -33,7 +34,7 @@ from .common import keep, partitions
 from .textops import U64, mix, shingles, slices, word_bounds, word_hashes
 
 BINS, BANDS, BITS, HOT = 128, 32, 1024, 500
-#: Centres of a bucket in each round.
+#: Centres of a bucket in each round; a last round tests what these leave.
 CENTRES = (1, 1, 2, 4, 8)
 _FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
@@ -161,33 +162,51 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return tall.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tall.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+#: The words of a bitmap as columns; a test of two rows then stays small enough to be compiled.
+MARKS = [f"bits{k}" for k in range(BITS // 64)]
+
+
+def marks(column: str, prefix: str = "") -> list:
+    """The words of a bitmap and the number of its ones, as columns."""
+    ones = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(column)[k]) for k in range(len(MARKS))])
+    return [*(F.col(column)[k].alias(prefix + m) for k, m in enumerate(MARKS)), ones.alias(prefix + "ones")]
+
+
 def _possible(percent: int):
     """Whether two sets can be alike, from sizes and bitmaps: a bit that only one set has is an element that only it has."""
-    alone = lambda x, y: functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS // 64)])
-    common = F.least(F.col("n") - alone("bits", "c_bits"), F.col("c_n") - alone("c_bits", "bits"))
+    shared = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(m).bitwiseAND(F.col("c_" + m))) for m in MARKS])
+    common = F.least(F.col("n") - F.col("ones"), F.col("c_n") - F.col("c_ones")) + shared
     return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("c_n")))
 
 
 def _links(buckets: DataFrame, bits: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the classes of buckets (bucket, id, n), with bits of each id, by stars around CENTRES[0], CENTRES[1], ... centres of a bucket."""
+    """Links (a, b) that join the classes of buckets (bucket, id, n), with bits of each id, by stars around CENTRES[0], CENTRES[1], ... centres of a bucket, then around all that are left."""
     empty = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     links, checked, of = empty, empty, empty.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    for most in CENTRES:
+    bits, of_centres = bits.select("id", *marks("bits")), bits.select(F.col("id").alias("c"), *marks("bits", "c_"))
+    for most in (*CENTRES, None):
         state = buckets.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("centre"))
-        several = parts.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "centre.id"))
-        centres = parts.withColumn("place", place).where(F.col("place") <= most).join(several, "bucket", "left_semi")
-        centres = keep(centres.select("bucket", F.col("centre.id").alias("c"), F.col("centre.n").alias("c_n"), F.col("component").alias("c_component")), "centres")
+        several = parts.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("size", "component")).alias("top")).where("x < y")
+        if most is None:
+            centres = state.join(several.select("bucket", F.col("top.component").alias("top")), "bucket").where("component <> top")
+            centres = centres.select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("component").alias("c_component"))
+        else:
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "centre.id"))
+            centres = parts.withColumn("place", place).where(F.col("place") <= most).join(several, "bucket", "left_semi")
+            centres = centres.select("bucket", F.col("centre.id").alias("c"), F.col("centre.n").alias("c_n"), F.col("component").alias("c_component"))
+        centres = keep(centres, "centres")
         state = keep(state.join(centres.select("bucket").distinct(), "bucket", "left_semi").join(bits, "id"), "buckets")
-        centres = keep(centres.join(bits.withColumnRenamed("id", "c").withColumnRenamed("bits", "c_bits"), "c"), "centres")
-        spokes = state.join(centres, "bucket").where(F.col("component") != F.col("c_component")).where(_possible(percent))
-        pairs = spokes.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+        met = keep(centres.join(of_centres, "c"), "centres")
+        spokes = state.join(met, "bucket").where(F.col("component") != F.col("c_component")).where(_possible(percent))
+        pairs = keep(spokes.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
         verdicts = keep(confirm(pairs, texts, percent), "links")
-        checked, new = checked.unionByName(verdicts.select("a", "b")), verdicts.where("linked").select("a", "b")
+        new = verdicts.where("linked").select("a", "b")
         links = links.unionByName(new)
-        of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
-        buckets = state.join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
+        if most is not None:
+            checked = checked.unionByName(verdicts.select("a", "b"))
+            of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
+            buckets = state.join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
     return links
 
 

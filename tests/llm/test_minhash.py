@@ -94,6 +94,20 @@ def test_groups_of_loosely_like_texts_equal_brute_force(spark):
     assert got == brute([(int(i), t) for i, t in rows])
 
 
+def test_last_round_alone_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CENTRES", ())
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{k}" for k in range(80)], []
+    for k in range(120):
+        words = list(base)
+        for place in rng.choice(80, rng.integers(0, 5), replace=False):
+            words[place] = f"x{rng.integers(1 << 40)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute(rows)
+
+
 def test_bitmaps_never_refuse_a_like_pair(spark):
     rng = np.random.default_rng(3)
     rows, want = [], []
@@ -106,6 +120,7 @@ def test_bitmaps_never_refuse_a_like_pair(spark):
         want.append(100 * both >= 75 * (len(a) + len(b) - both))
         rows.append((k, int(size[0]), bits[0].tolist(), int(size[1]), bits[1].tolist()))
     df = spark.createDataFrame(rows, "k long, n long, bits array<long>, c_n long, c_bits array<long>")
+    df = df.select("k", "n", *minhash.marks("bits"), "c_n", *minhash.marks("c_bits", "c_"))
     passed = {r.k for r in df.where(minhash._possible(75)).collect()}
     like = {k for k, w in enumerate(want) if w}
     assert like and like <= passed and len(passed) < len(like) + 60
