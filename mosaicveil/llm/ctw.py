@@ -5,9 +5,13 @@ in each context of the 0 to DEPTH bytes before it. A node's Krichevsky-Trofimov
 probabilities are mixed half and half, from the deepest context up; what a text gets is the conditional probability of this mixture
 with the tree as learned, so a score is a proper log-probability.
 
-Counts are taken over all training rows, those whose crc32(id as text) mod 10 is not 0. A context is kept if it occurs at least m
-times, m the least power of two that leaves at most CAPACITY (context, byte) entries; the contexts below share one branch of their
-parent, with their pooled counts. That bounds what is collected and broadcast at any input size.
+Counts are taken over all training rows, those whose crc32(id as text) mod 10 is not 0, and the tree keeps every context: nothing is
+dropped or pooled at any input size. score() never has it in one place. Texts are packed into slices of about SLICE bytes; each slice
+lists its distinct (context, byte) keys with their training counts, dealt to shards by their last SPLIT context bytes. A shard holds
+whole subtrees: it sums its counts, weighs its nodes bottom-up, and sends up what its subtrees add to the decisions of the contexts of
+SPLIT - 1 bytes. The driver mixes those, of which there are as many as such contexts, and sends the mixture down; then each shard
+answers the keys of each slice, and the slice adds up its texts. What is dealt grows with the slices, in proportion to the input.
+fit() holds a tree on the driver, for small corpora and tests; only there a capacity can be asked for, and contexts below share a branch.
 
 Base: sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))), tokens being words (A-Z lower-cased) and one end. Counts of the at most
 FREQUENT commonest tokens are broadcast; other tokens of the texts meet their counts in a shuffle join, pre-aggregated by text.
@@ -25,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, keep
+from .common import id_crc, keep, partitions
 from .textops import U64, mix, slices, trim, word_bounds, word_hashes
 
-DEPTH, CAPACITY, FREQUENT = 5, 1 << 19, 1 << 19
+DEPTH, FREQUENT = 5, 1 << 19
+SPLIT, SLICE = 3, 8 << 20
 _START, _STOP = 0xFE, 0xFF  # bytes that UTF-8 does not use
 _END_TOKEN = U64(0x6A09E667F3BCC909)
 _HOLD = 3_000_000  # keys that a task holds before it counts them
@@ -70,7 +75,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...] = (0, 1)) -> Iterator[pa.RecordBatch]:
     """Counts of byte grams (kind 0) and tokens (kind 1) of a task's texts, a row for each distinct one."""
     held: list[list] = [[], []]
     sums: list[list] = [[], []]
@@ -84,15 +89,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, _, buf, offs in slices(batch.column(0), 1 << 20):
-            held[0].append(grams(buf, offs)[0])
-            held[1].append(tokens(buf, offs)[0])
-            for kind in (0, 1):
+            for kind in kinds:
+                held[kind].append((grams, tokens)[kind](buf, offs)[0])
                 if sum(map(len, held[kind])) > _HOLD:
                     settle(kind)
-        for kind in (0, 1):  # a task's tables stay bounded
+        for kind in kinds:  # a task's tables stay bounded
             if sum(len(k) for k, _ in sums[kind]) > _HOLD:
                 yield from _emit(kind, sums[kind])
-    for kind in (0, 1):
+    for kind in kinds:
         settle(kind)
         yield from _emit(kind, sums[kind])
     trim()
@@ -185,7 +189,7 @@ def _nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Model:
-    """The learned tree as tables: entries, contexts and nodes."""
+    """A learned tree in one place, as tables: entries, contexts and nodes."""
 
     def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]]):
         """entries: for each depth the sorted (context, byte) keys of kept contexts and their counts."""
@@ -268,38 +272,263 @@ class Model:
         return total
 
 
-def _scorer(shared, n_tokens: int, n_distinct: int, floor: int):
-    """floor: the least count of broadcast tokens; a token not among them has fewer or none."""
+def _above(node: np.ndarray, depth: int) -> np.ndarray:
+    """The same decisions in the contexts one byte shorter; node: of contexts of depth bytes."""
+    return ((node >> U64(8)) & _mask(depth - 1)) << U64(8) | node & U64(255)
+
+
+def _share(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Posterior weight of a node's own estimate against its children's."""
+    return 1 / (1 + np.exp(np.clip(below - own, -500, 500)))
+
+
+class Subtrees:
+    """The part of the whole tree below some contexts of SPLIT bytes; keys: sorted, of full depth."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH):
+        self.depth, self.keys = depth, keys
+        self.tree = [_nodes(*_merge([(keys & _mask(d + 1), counts)])) if len(keys) else (keys, np.zeros(0), np.zeros(0)) for d in range(SPLIT, depth + 1)]
+        self.up = [None] + [np.searchsorted(self.tree[d - SPLIT - 1][0], _above(self.tree[d - SPLIT][0], d)) for d in range(SPLIT + 1, depth + 1)]
+        self.weighted, self.sigma = None, []
+        for k in range(depth - SPLIT, -1, -1):
+            own = log_kt(*self.tree[k][1:])
+            if self.weighted is None:
+                self.weighted = own
+                self.sigma.insert(0, np.ones(len(own)))
+                continue
+            below = np.bincount(self.up[k + 1], self.weighted, len(own))
+            self.sigma.insert(0, _share(own, below))
+            self.weighted = np.logaddexp(own, below) - np.log(2)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(node, zeros, ones, log weighted probability), summed for the contexts of SPLIT - 1 bytes."""
+        node, where = np.unique(_above(self.tree[0][0], SPLIT), return_inverse=True)
+        return node, *(np.bincount(where, x, len(node)) for x in (*self.tree[0][1:], self.weighted))
+
+    def open(self, top: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Mix from the root down; top: what top_of returns."""
+        self.table = [(node, so_far + 0.5 * weight) for node, so_far, weight in top]
+        for k, (node, z, o) in enumerate(self.tree):
+            if k:
+                a, w = so_far[self.up[k]], weight[self.up[k]]
+            else:
+                at = np.searchsorted(top[-1][0], _above(node, SPLIT))
+                a, w = top[-1][1][at], top[-1][2][at]
+            so_far, weight = a + w * self.sigma[k] * (o + 0.5) / (z + o + 1), w * (1 - self.sigma[k])
+            self.table.append((node, so_far + 0.5 * weight))
+        self.bits = self._bitwise(self.keys)
+
+    def log2(self, keys: np.ndarray) -> np.ndarray:
+        """log2 probability of each symbol in its context."""
+        if not len(self.keys):
+            return self._bitwise(keys)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        out = self.bits[at]
+        new = self.keys[at] != keys
+        out[new] = self._bitwise(keys[new])
+        return out
+
+    def _bitwise(self, keys: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(keys))
+        for level in range(8):
+            p, todo = np.full(len(keys), 0.5), np.arange(len(keys))
+            for d in range(self.depth, -1, -1):
+                node, mid = self.table[d]
+                if not len(todo) or not len(node):
+                    continue
+                k = keys[todo] & _mask(d + 1)
+                k = k & ~U64(255) | U64(1 << level) | ((k & U64(255)) >> U64(8 - level))
+                at = np.minimum(np.searchsorted(node, k), len(node) - 1)
+                hit = node[at] == k
+                p[todo[hit]] = mid[at[hit]]
+                todo = todo[~hit]
+            total += np.log2(np.where((keys >> U64(7 - level)) & U64(1), p, 1 - p))
+        return total
+
+
+def top_of(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth under SPLIT (node, mixture so far, weight of what is deeper); the arguments are sums() over all shards, sorted."""
+    tree, up = [], []
+    for d in range(SPLIT - 1, -1, -1):
+        own = log_kt(zeros, ones)
+        tree.insert(0, (node, _share(own, below), (ones + 0.5) / (zeros + ones + 1)))
+        if d:
+            weighted = np.logaddexp(own, below) - np.log(2)
+            node, where = np.unique(_above(node, d), return_inverse=True)
+            zeros, ones, below = (np.bincount(where, x, len(node)) for x in (zeros, ones, weighted))
+            up.insert(0, where)
+    out = []
+    for d, (node, sigma, kt) in enumerate(tree):
+        a, w = (out[-1][1][up[d - 1]], out[-1][2][up[d - 1]]) if d else (0.0, 1.0)
+        out.append((node, a + w * sigma * kt, w * (1 - sigma)))
+    return out
+
+
+def _bytes(keys: np.ndarray) -> bytes:
+    """48-bit keys, first the lowest byte of all, then the next: this compresses well."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].T).tobytes()
+
+
+def _keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(DEPTH + 1, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : DEPTH + 1] = planes.T
+    return out.view("<u8")[:, 0].astype(U64)
 
+
+_SLICE = "slice long, doc_id array<long>, held_out array<boolean>, offs binary, text binary"
+
+
+def _packer(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of (doc_id, text, held_out); a slice's number is that of its first row."""
         from pyspark import TaskContext
 
-        model, frequent = shared.value
-        row = TaskContext.get().partitionId() << 36
-        absent = np.log10(0.1 / (n_tokens + 0.1 * (n_distinct + 1)))
+        row, held = TaskContext.get().partitionId() << 36, []
+
+        def pack() -> pa.RecordBatch:
+            nonlocal row
+            ids, folds, texts, sizes = zip(*held)
+            held.clear()
+            ids, folds, sizes = pa.concat_arrays(ids), pa.concat_arrays(folds), np.concatenate(sizes)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, folds)]
+            out = pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists, pa.array([np.r_[0, np.cumsum(sizes)].astype(np.int64).tobytes()]), pa.array([np.concatenate(texts).tobytes()])], ["slice", "doc_id", "held_out", "offs", "text"])
+            row += len(ids)
+            return out
+
         for batch in batches:
-            for a, b, buf, offs in slices(batch.column(1), 1 << 20):
-                n = b - a
-                keys, first = grams(buf, offs)
-                score = np.add.reduceat(model.log2(keys), first) * np.log10(2)
-                word, of = tokens(buf, offs)
-                place = frequent.rows(word)
-                known = place >= 0
-                base = np.bincount(of[known], frequent.columns[0][place[known]], n)
-                rare, rows = word[~known], of[~known]
-                if floor <= 1:  # every training token is broadcast
-                    base = base + absent * np.bincount(rows, minlength=n)
-                    rare, rows = rare[:0], rows[:0]
-                order = np.lexsort((rare, rows))
-                rare, rows = rare[order], rows[order]
-                new = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (rows[1:] != rows[:-1])]) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[new, len(rare)])
-                cut = np.searchsorted(rows[new], np.arange(n + 1)).astype(np.int32)
+            for a, b, buf, offs in slices(batch.column(1), min(most, 1 << 20)):
+                held.append((batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), buf.copy(), np.diff(offs)))
+                if sum(len(h[2]) + len(h[3]) for h in held) >= most:
+                    yield pack()
+        if held:
+            yield pack()
+        trim()
+
+    return run
+
+
+def _runs(offs: bytes, text: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of a slice's runs of about a MB."""
+    offs, buf = np.frombuffer(offs, np.int64), np.frombuffer(text, np.uint8)
+    at = 0
+    while at < len(offs) - 1:
+        end = max(int(np.searchsorted(offs, offs[at] + (1 << 20), "right")) - 1, at + 1)
+        yield at, end, buf[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
+        at = end
+
+
+def _asker(shards: int):
+    """For each slice and shard one row: the slice's distinct keys there and how often its training rows have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                number, held = batch.column(0)[k].as_py(), batch.column(2)[k].values.to_numpy(zero_copy_only=False)
+                parts = []  # keys with the fold in the lowest bit, as plain sorting is far faster than sorting places
+                for a, b, buf, offs in _runs(batch.column(3)[k].as_py(), batch.column(4)[k].as_py()):
+                    parts.append(grams(buf, offs)[0] << U64(1) | np.repeat(~held[a:b].astype(bool), np.diff(offs) + 1).astype(U64))
+                keys, n = _distinct(np.concatenate(parts))
+                del parts
+                trained, keys = np.where(keys & U64(1), n, 0), keys >> U64(1)
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                keys, n = keys[first], np.add.reduceat(trained, first)
+                shard = (mix((keys >> U64(8)) & _mask(SPLIT)) % U64(shards)).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                shard, keys, n = shard[order], keys[order], n[order]
+                cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+                pairs = list(zip(cut[:-1], cut[1:]))
                 yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard[cut[:-1]]), pa.array(np.full(len(pairs), number)), pa.array([_bytes(keys[a:b]) for a, b in pairs], pa.binary()), pa.array([n[a:b].tobytes() for a, b in pairs], pa.binary())], ["shard", "slice", "keys", "n"]
+                )
+        trim()
+
+    return run
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a shard, of rows in order of shards: its training keys and counts, and what it sends up."""
+    last, parts = None, []
+
+    def grown() -> Iterator[pa.RecordBatch]:
+        keys, n = _merge(parts)
+        parts.clear()
+        if len(keys):
+            node, z, o, w = Subtrees(keys, n).sums()
+            ups = [pa.ListArray.from_arrays(pa.array([0, len(node)], pa.int32()), pa.array(x)) for x in (node.astype(np.int64), z, o, w)]
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([_bytes(keys)]), pa.array([n.tobytes()]), *ups], ["shard", "keys", "n", "node", "z", "o", "w"])
+
+    for batch in batches:
+        for shard, keys, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if shard != last and parts:
+                yield from grown()
+            last, n = shard, np.frombuffer(n, np.int64)
+            parts.append((_keys(keys)[n > 0], n[n > 0]))
+            if sum(len(k) for k, _ in parts[1:]) > _HOLD:
+                parts[:] = [_merge(parts)]
+    if parts:
+        yield from grown()
+    trim()
+
+
+def _answerer(shared):
+    """Bits of each asked key; of each shard its tree comes first (slice -1), then what the slices ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tree = None, None
+        for batch in batches:
+            for k in range(len(batch)):
+                shard, number, keys, n = (batch.column(c)[k].as_py() for c in range(4))
+                keys = _keys(keys)
+                if shard != last:
+                    tree = Subtrees(keys, np.frombuffer(n, np.int64)) if number < 0 else Subtrees(keys[:0], np.zeros(0, np.int64))
+                    tree.open(shared.value)
+                    last = shard
+                if number >= 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_bytes(keys)]), pa.array([tree.log2(keys).astype(np.float32).tobytes()])], ["slice", "keys", "bits"])
+        trim()
+
+    return run
+
+
+def _scorer(shared, n_tokens: int, n_distinct: int, floor: int):
+    """floor: the least count of broadcast tokens; a token not among them has fewer or none."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        frequent = shared.value
+        absent = np.log10(0.1 / (n_tokens + 0.1 * (n_distinct + 1)))
+        known_keys = np.concatenate([_keys(k) for k in answers["keys"].to_pylist()])
+        known_bits = np.concatenate([np.frombuffer(b, np.float32) for b in answers["bits"].to_pylist()])
+        order = np.argsort(known_keys)
+        known_keys, known_bits = known_keys[order], known_bits[order].astype(np.float64)
+        ids, folds = (pa.concat_arrays([x.values for x in texts[c].combine_chunks().slice(0, 1)]) for c in ("doc_id", "held_out"))
+        row, out = texts["slice"][0].as_py(), []
+        for a, b, buf, offs in _runs(texts["offs"][0].as_py(), texts["text"][0].as_py()):
+            n = b - a
+            keys, first = grams(buf, offs)
+            order = np.argsort(keys)
+            bits = np.empty(len(keys))
+            bits[order] = known_bits[np.searchsorted(known_keys, keys[order])]
+            score = np.add.reduceat(bits, first) * np.log10(2)
+            word, of = tokens(buf, offs)
+            place = frequent.rows(word)
+            known = place >= 0
+            base = np.bincount(of[known], frequent.columns[0][place[known]], n)
+            rare, rows = word[~known], of[~known]
+            if floor <= 1:  # every training token is broadcast
+                base = base + absent * np.bincount(rows, minlength=n)
+                rare, rows = rare[:0], rows[:0]
+            order = np.lexsort((rare, rows))
+            rare, rows = rare[order], rows[order]
+            new = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (rows[1:] != rows[:-1])]) if len(rare) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[new, len(rare)])
+            cut = np.searchsorted(rows[new], np.arange(n + 1)).astype(np.int32)
+            out.append(
+                pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + n)),
-                        batch.column(0).slice(a, n),
-                        batch.column(2).slice(a, n),
+                        pa.array(np.arange(row + a, row + b)),
+                        ids.slice(a, n),
+                        folds.slice(a, n),
                         pa.array(np.bincount(of, minlength=n).astype(np.int64)),
                         pa.array(np.bincount(of[known], minlength=n).astype(np.int64)),
                         pa.array(base),
@@ -309,8 +538,9 @@ def _scorer(shared, n_tokens: int, n_distinct: int, floor: int):
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
                 )
-                row += n
+            )
         trim()
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -326,8 +556,8 @@ def _least(sizes: list[tuple[int, int]], most: int) -> int:
     return 1 << least
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, capacity: int = CAPACITY) -> tuple[Model, DataFrame]:
-    """(tree, token counts) of the rows of docs whose fold is not 0."""
+def fit(docs: DataFrame, depth: int = DEPTH, capacity: int | None = None) -> tuple[Model, DataFrame]:
+    """(tree, token counts) of the rows of docs whose fold is not 0; the whole tree if there is no capacity."""
     train = docs.where(F.pmod(id_crc(), F.lit(10)) != 0).select("text")
     counts = keep(train.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     deepest = counts.where("kind = 0")
@@ -335,8 +565,10 @@ def fit(docs: DataFrame, depth: int = DEPTH, capacity: int = CAPACITY) -> tuple[
     every = deepest.select(each, "n").groupBy("e.d", "e.key").agg(F.sum("n").alias("n"))
     every = keep(every.select("d", "key", F.expr("shiftright(key, 8)").alias("context"), "n"), "grams")
     contexts = every.groupBy("d", "context").agg(F.sum("n").alias("total"), F.count("*").alias("n"))
-    sizes = contexts.groupBy(F.floor(F.log2("total")).cast("int").alias("level")).agg(F.sum("n").alias("n")).collect()
-    least = _least([(r.level, r.n) for r in sizes], capacity)
+    least = 1
+    if capacity is not None:
+        sizes = contexts.groupBy(F.floor(F.log2("total")).cast("int").alias("level")).agg(F.sum("n").alias("n")).collect()
+        least = _least([(r.level, r.n) for r in sizes], capacity)
     kept = every.join(contexts.where((F.col("total") >= least) | (F.col("d") == 0)).select("d", "context"), ["d", "context"])
     found = kept.select("d", "key", "n").toArrow()
     depths, every_key, every_n = (found[c].to_numpy() for c in ("d", "key", "n"))
@@ -355,10 +587,25 @@ def fit(docs: DataFrame, depth: int = DEPTH, capacity: int = CAPACITY) -> tuple[
     return model, counts.where("kind = 1").select("key", "n")
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def answers(packed: DataFrame) -> DataFrame:
+    """(slice, keys, bits): log2 probability, by the whole tree of the training rows, of all symbols in context that a slice has."""
+    spark = packed.sparkSession
+    n = partitions(spark)
+    asked = keep(packed.mapInArrow(_asker(n), "shard int, slice long, keys binary, n binary"), "asked")
+    trees = asked.select("shard", "keys", "n").repartition(n, "shard").sortWithinPartitions("shard")
+    trees = keep(trees.mapInArrow(_grow, "shard int, keys binary, n binary, node array<long>, z array<double>, o array<double>, w array<double>"), "trees")
+    sums = trees.select(F.inline(F.arrays_zip("node", "z", "o", "w"))).groupBy("node").agg(*(F.sum(c).alias(c) for c in "zow")).orderBy("node").toArrow()
+    shared = spark.sparkContext.broadcast(top_of(sums["node"].to_numpy().astype(np.int64).view(U64), *(sums[c].to_numpy() for c in "zow")))
+    both = trees.select("shard", F.lit(-1).cast("long").alias("slice"), "keys", "n").unionByName(asked.withColumn("n", F.lit(None).cast("binary")))
+    return both.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_answerer(shared), "slice long, keys binary, bits binary")
+
+
+def score(docs: DataFrame, frequent: int = FREQUENT, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.pmod(id_crc(), F.lit(10)) == 0).alias("held_out"))
-    model, counts = fit(docs)
+    packed = keep(rows.mapInArrow(_packer(slice_bytes), _SLICE), "slices")
+    train = rows.where("not held_out").select("text")
+    counts = keep(train.mapInArrow(lambda batches: _count(batches, (1,)), "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
     floor = _least([(r.level, r.n) for r in sizes], frequent) if sizes else 1
@@ -367,9 +614,9 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     table = Lookup(common["key"].to_numpy().astype(np.int64).view(U64), np.log10((common["n"].to_numpy().astype(np.float64) + 0.1) / denominator))
     del common
     trim()
-    shared = docs.sparkSession.sparkContext.broadcast((model, table))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
-    scored = rows.mapInArrow(_scorer(shared, n, v, floor), kinds)
+    scored = packed.groupBy("slice").cogroup(answers(packed).groupBy("slice")).applyInArrow(_scorer(shared, n, v, floor), kinds)
     if floor > 1:
         scored = keep(scored, "scores")
         rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))

@@ -93,3 +93,28 @@ def test_base_and_rows(spark):
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 for r in got)
     assert ctw.score(docs.where("false")).count() == 0
+
+
+def test_every_context_counts(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 500))) for _ in range(600)] + ["", "é", "unlike 1234"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10]
+    entries = []
+    for d in range(ctw.DEPTH + 1):
+        keys, n = np.unique(ctw.grams(*buffers(pa.array(train)), d)[0], return_counts=True)
+        entries.append((keys, n))
+    assert sum(len(k) for k, _ in entries) > 1 << 19  # what a tree could hold when it had a capacity
+    model = ctw.Model(entries)
+    got = {r.doc_id: r.score for r in ctw.score(docs).select("doc_id", "score").collect()}
+    for k, t in enumerate(texts):
+        want = model.log2(ctw.grams(*buffers(pa.array([t])))[0]).sum() * math.log10(2)
+        assert math.isclose(got[k], want, rel_tol=1e-4)
+
+
+def test_scored_rows_equal_plain_recursion(spark):
+    texts = ["abracadabra abracad", "the cat and the hat", "", "café cab", "tha\n", "abra the car", "zzz é"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10]
+    for r in ctw.score(docs, slice_bytes=40).collect():
+        assert math.isclose(r.score, brute(train, texts[r.doc_id], ctw.DEPTH), rel_tol=1e-4)
