@@ -148,7 +148,7 @@ def text_scalars(spark, sf_dir):
 
 @query()
 def detect_documents(spark, sf_dir):
-    rows = detect(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = detect(read(spark, sf_dir, "documents").select("doc_id", "text"), extra=(names.free_text_spans(),))
     return span_rows(rows, "doc_id").select("doc_id", "seq", "start", "end", "type", "text", "score", "source")
 
 
@@ -172,7 +172,7 @@ _counted("IP_ADDRESS", "ipv4", "(^|[^0-9.])([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}
 
 @query()
 def entity_counts_rollup(spark, sf_dir):
-    return audit.counts_by_class(span_rows(detect(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"))
+    return audit.counts_by_class(span_rows(detect(read(spark, sf_dir, "documents").select("doc_id", "text"), extra=(names.free_text_spans(),)), "doc_id"))
 
 
 @query()
@@ -180,7 +180,7 @@ def redact_documents(spark, sf_dir):
     from .redact import redact_texts
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    done = redact_texts(docs, Config(salt=SALT), names=False)
+    done = redact_texts(docs, Config(salt=SALT))
     return done.texts.select("doc_id", "text", "n_replaced")
 
 
