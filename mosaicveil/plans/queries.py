@@ -188,9 +188,10 @@ def redact_documents(spark, sf_dir):
 def redact_leaves_plain_documents(spark, sf_dir):
     from .redact import redact_texts
 
-    docs = read(spark, sf_dir, "documents").where(~F.col("text").rlike("[0-9@:]")).select("doc_id", "text")
-    done = redact_texts(docs, Config(salt=SALT), names=False).texts
-    return done.join(docs.withColumnRenamed("text", "was"), "doc_id").where("text = was and n_replaced = 0").select("doc_id", F.length("text").cast("long").alias("n"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = redact_texts(docs, Config(salt=SALT)).texts
+    plain = docs.where(~F.col("text").rlike("[0-9@:]")).withColumnRenamed("text", "was")
+    return done.join(plain, "doc_id").where("text = was and n_replaced = 0").select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 # --- resolution ----------------------------------------------------------------------------------------------------------------
@@ -337,15 +338,22 @@ def org_groups(spark, sf_dir):
     return rows.select("n_nationkey", F.col("n_name").alias("original"), dictionary.org_groups(F.concat(F.col("n_name"), F.lit(" Steel Industries Private Limited"))).alias("groups"))
 
 
+def mails_follow_names(spark, sf_dir) -> DataFrame:
+    """Whether the mailbox of each customer's name becomes that of the name's pseudonym in the customer's scope; every customer, every scope."""
+    mail_of = lambda c, host: F.concat(F.lower(F.regexp_replace(c, " ", ".")), F.lit(host))
+    rows = _people(spark, sf_dir)
+    mail = rows.select("doc_id", F.lit("EMAIL").alias("type"), mail_of("text", "@gmail.com").alias("text"), "start", "end")
+    made = dictionary.build(rows.unionByName(mail), SALT)
+    person = made.where("type = 'PERSON'").select("doc_id", mail_of("original", "@gmail.com").alias("mail"), mail_of("pseudonym", "@example.com").alias("want"))
+    pairs = made.where("type = 'EMAIL'").select("doc_id", F.col("original").alias("mail"), "pseudonym").join(person, ["doc_id", "mail"]).select("doc_id", "mail", (F.col("pseudonym") == F.col("want")).alias("follows"))
+    back = read(spark, sf_dir, "customer").select(_K, (F.col(_K) % 40).alias("doc_id"), mail_of(F.expr(_PERSON), "@gmail.com").alias("mail"))
+    return back.join(pairs, ["doc_id", "mail"]).select(_K, "follows")
+
+
 @query(f"SELECT {_K}, true AS follows FROM customer WHERE c_custkey % 40 = 0")
 def email_follows_name(spark, sf_dir):
-    rows = _people(spark, sf_dir).where("doc_id = 0")
-    mail = rows.select("doc_id", F.lit("EMAIL").alias("type"), F.concat(F.lower(F.regexp_replace("text", " ", ".")), F.lit("@gmail.com")).alias("text"), "start", "end")
-    made = dictionary.build(rows.unionByName(mail), SALT)
-    person = made.where("type = 'PERSON'").select(F.concat(F.lower(F.regexp_replace("original", " ", ".")), F.lit("@gmail.com")).alias("mail"), F.concat(F.lower(F.regexp_replace("pseudonym", " ", ".")), F.lit("@example.com")).alias("want"))
-    pairs = made.where("type = 'EMAIL'").join(person, F.col("original") == F.col("mail")).select("mail", (F.col("pseudonym") == F.col("want")).alias("follows"))
-    back = read(spark, sf_dir, "customer").where(F.col(_K) % 40 == 0).select(_K, F.concat(F.lower(F.regexp_replace(F.expr(_PERSON), " ", ".")), F.lit("@gmail.com")).alias("mail"))
-    return back.join(pairs, "mail").select(_K, "follows")
+    """Of all customers the rows that the SQL lists."""
+    return mails_follow_names(spark, sf_dir).where(F.col(_K) % 40 == 0)
 
 
 @query(f"SELECT CAST(type AS STRING) AS type, count(*) AS n FROM (SELECT 'PAN' AS type, {_PAN} AS v FROM customer UNION SELECT 'EMAIL', {EMBEDDED['email'][2]} FROM customer) GROUP BY type")
