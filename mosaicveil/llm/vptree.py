@@ -6,8 +6,9 @@ each shard once. A subtree is left out when the triangle inequality puts it fart
 so far; factor 1 is exact, smaller factors visit less. Distances are Euclidean, summed in double precision by component.
 
 Vectors that are null, zero or hold null, NaN or infinite components take no part, as rows or as queries; vectors are only
-compared with those of the same length. Ties go to the smaller id. A query's own id is no candidate. Extra columns are ignored;
-an empty table gives no rows.
+compared with those of the same length. Ties go to the smaller id. A query's own id is no candidate. Rows that repeat (same id and
+vector) count once. An id with several vectors takes one place, at the least distance of any of its vectors from any of the query's.
+Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,6 +65,7 @@ class Tree:
     def __init__(self, ids: np.ndarray, data: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
         self.ids, self.data = ids[order], data[order]
+        self.repeats = bool((self.ids[1:] == self.ids[:-1]).any())
         self.root = self._build(np.arange(len(ids)), leaf)
 
     def _build(self, rows: np.ndarray, leaf: int):
@@ -79,7 +81,7 @@ class Tree:
         return spread[best], cut, self._build(rows[near], leaf), self._build(rows[~near], leaf)
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, ids) of the k nearest found for each query, nearest first; unused places are infinite."""
+        """(distances, ids) of the k nearest ids found for each query, nearest first; unused places are infinite."""
         best = np.full((len(ids), k), np.inf)
         who = np.full((len(ids), k), np.iinfo(np.int64).max)
 
@@ -93,8 +95,14 @@ class Tree:
                     found[ids[qs][:, None] == self.ids[rows][None, :]] = np.inf
                     d = np.c_[best[qs], found]
                     w = np.c_[who[qs], np.broadcast_to(self.ids[rows], found.shape)]
+                    if self.repeats:  # an id keeps its least distance only
+                        order = np.lexsort((d, w))
+                        d, w = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+                        d[:, 1:][w[:, 1:] == w[:, :-1]] = np.inf
                     order = np.lexsort((w, d))[:, :k]
                     best[qs], who[qs] = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+                    if self.repeats:  # an unused place has no id, lest it stand for one that comes nearer
+                        who[qs] = np.where(np.isinf(best[qs]), np.iinfo(np.int64).max, who[qs])
                 return
             point, cut, inner, outer = node
             d = distances(queries[qs], self.data[point : point + 1])[:, 0]
@@ -128,8 +136,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = FACTOR, i
     """query_id, rank, vec_id, score: the k nearest found of each row that the column is_query marks, among all rows but itself."""
     marked = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), is_query.alias("asks")).where("vec_id is not null and vector is not null")
     marked = marked.withColumn("vector", F.expr("case when not exists(vector, x -> x is null) then transform(vector, x -> double(x)) end")).where("vector is not null")
+    marked = marked.groupBy("vec_id", "vector").agg(F.max("asks").alias("asks"))
     shards = marked.select("vec_id", "vector").mapInPandas(_packs(SHARD_ROWS), _PACK)
-    asked = keep(marked.where("asks").select("vec_id", "vector").dropDuplicates(["vec_id"]), "queries")
+    asked = keep(marked.where("asks").select("vec_id", "vector"), "queries")
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     packed = asked.repartition(blocks, "vec_id").mapInPandas(_packs(BLOCK_ROWS), _PACK)
     # a lane is a share of the blocks; each shard goes to every lane, so each shard meets each block once
@@ -137,5 +146,5 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = FACTOR, i
     pairs = shards.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, ["lane", "dims"])
     found = pairs.select("part", "dims", "ids", "data", "q_ids", "q_data").mapInPandas(_searcher(k, factor), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
