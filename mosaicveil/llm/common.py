@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
         made = shared_dir.made = "file://" + tempfile.mkdtemp(prefix="mosaicveil-")
@@ -31,7 +33,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.kept_at = path
+    return back
+
+
+def forget(*kept: DataFrame | None) -> None:
+    """Remove tables of keep() that nothing reads any more."""
+    for df in kept:
+        path = getattr(df, "kept_at", None)
+        if path:
+            _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

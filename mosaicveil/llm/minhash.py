@@ -4,20 +4,23 @@ A text's words are maximal runs of bytes other than space, tab, line feed, verti
 A-Z lower-cased; its set holds its distinct five-word shingles (a shorter text is one shingle; a text without words, or a null
 one, has an empty set and is linked with nothing). One pass over the texts gives each document
 
-* the size of its set and a 128-bit digest of it (equal sets form one class, whose smallest id stands for it),
+* the size of its set and a 128-bit digest of it (equal sets form one class, which the smallest id stands for),
 * a one-permutation signature: 128 bins of the hash space, the minimum of each; an empty bin copies the first filled bin of a
   universal probe sequence (optimal densification),
 * 32 bands of 4 bins: two sets of similarity 0.75 miss each other in all bands with probability 5e-6.
 
-Documents of a bucket are compared with its smallest id only, a star, so a bucket of n costs n - 1 comparisons. Buckets that then
-still hold several components form stars again, around members of their smallest components (outliers of a large group come first),
-CENTRES of them a round; a centre meets the members of other components whose sizes and bitmaps (1024 bits of shingle hashes; a bound that no
-like pair fails) allow the similarity, and then leaves the bucket. In a last round without a cap every member outside a bucket's largest
-component is a centre, so no two documents of a bucket stay apart untested. Each candidate is confirmed on the two full sets.
-Links are joined into components by alternating large and small stars.
-
-Repeated rows of one id count as the same vertex; null ids take part under no component (component_id null). Ties go to the
-smaller id. Extra columns are ignored; an empty table gives an empty result.
+Classes of a bucket meet its smallest class only, a star, so a bucket of n costs n - 1 candidates. Only buckets of two classes and
+more are written and only they come up again: while one holds several components, its smallest components (outliers of a large
+group come first) send out one centre each, at most GROWTH ** round of them; a centre meets the members of all other components of
+the bucket and then leaves it. The rounds end when every bucket is one component, or all its members have been centres, so nothing in
+a bucket stays untested, and no round makes more candidates than its centres times the bucket. Candidates pass a bound on sizes and
+on bitmaps (1024 bits of shingle hashes) that no like pair fails; those that pass are confirmed on the two full sets. Texts are read
+through a Bloom filter of the candidates' ids and travel as sets, once a round; after the first round only those of buckets that are
+not settled are kept. Links are joined into components by alternating large and small stars.
+
+Repeated rows of one id count as the same vertex, also where their texts differ (each text is compared for itself); null ids take
+part under no component (component_id is null, kept is true). Ties go to the smaller id. Extra columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, partitions
-from .textops import U64, mix, shingles, slices, word_bounds, word_hashes
+from .common import forget, keep, partitions
+from .textops import U64, mix, shingles, slices, trim, word_bounds, word_hashes
+from .urlfilter import blocks_for, bloom, probe
 
 BINS, BANDS, BITS, HOT = 128, 32, 1024, 500
-#: Centres of a bucket in each round; a last round tests what these leave.
-CENTRES = (1, 1, 2, 4, 8)
+#: Centres of a bucket in round k after the first: this to the power k - 1.
+GROWTH = 8
+SLICE = 1 << 20
 _FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
 
@@ -59,21 +64,31 @@ def densify(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(hashes: np.ndarray, rows: np.ndarray, n: int, bins: int = BINS, bands: int = BANDS):
-    """Set sizes, two digests, band hashes and bitmaps of n rows (256 at most) from their shingles."""
+def distinct_sets(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements of 56 bits, their rows, set sizes) of n rows (256 at most), by row, ascending, from their shingles."""
     key = np.sort((rows.astype(U64) << U64(56)) | (hashes >> U64(8)))
     if len(key):
         key = key[np.r_[True, key[1:] != key[:-1]]]
     row = (key >> U64(56)).astype(np.int64)
-    size = np.bincount(row, minlength=n)
+    return key & U64((1 << 56) - 1), row, np.bincount(row, minlength=n)
+
+
+def digests(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two digests of each set."""
+    out = np.zeros((2, len(size)), U64)
+    some = np.flatnonzero(size)
+    if len(some):
+        at = (np.cumsum(size) - size)[some]
+        with np.errstate(over="ignore"):
+            out[0, some] = np.add.reduceat(mix(low + U64(0x51ED270B)), at)
+            out[1, some] = np.add.reduceat(mix(low ^ U64(0xA5A5A5A55A5A5A5A)), at)
+    return out
+
+
+def sketch(hashes: np.ndarray, rows: np.ndarray, n: int, bins: int = BINS, bands: int = BANDS):
+    """Set sizes, two digests, band hashes and bitmaps of n rows (256 at most) from their shingles."""
+    low, row, size = distinct_sets(hashes, rows, n)
     with np.errstate(over="ignore"):
-        low = key & U64((1 << 56) - 1)
-        digest = np.zeros((2, n), U64)
-        some = np.flatnonzero(size)
-        if len(some):
-            at = (np.cumsum(size) - size)[some]
-            digest[0, some] = np.add.reduceat(mix(low + U64(0x51ED270B)), at)
-            digest[1, some] = np.add.reduceat(mix(low ^ U64(0xA5A5A5A55A5A5A5A)), at)
         shift = U64(56 - (bins - 1).bit_length())
         slot = (row * bins) + (low >> shift).astype(np.int64)
         seen = np.zeros((n, BITS), bool)
@@ -86,80 +101,121 @@ def sketch(hashes: np.ndarray, rows: np.ndarray, n: int, bins: int = BINS, bands
         band = np.broadcast_to(np.arange(1, bands + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (n, bands)).copy()
         for j in range(dense.shape[2]):
             band = mix(band * U64(31) + dense[:, :, j] + U64(j + 1))
-    return size, digest, band, bits
+    return size, digests(low, size), band, bits
+
+
+def _shingled(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, shingle hashes, their rows) of slices of a text column."""
+    for a, b, buf, offs in slices(column, SLICE):
+        starts, ends, rows = word_bounds(buf, offs)
+        yield a, b, *shingles(word_hashes(buf, starts, ends), rows, b - a)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for a, b, buf, offs in slices(batch.column(1)):
-            starts, ends, rows = word_bounds(buf, offs)
-            size, digest, band, bits = sketch(*shingles(word_hashes(buf, starts, ends), rows, b - a), b - a)
+        for a, b, hashes, rows in _shingled(batch.column(1)):
+            size, digest, band, bits = sketch(hashes, rows, b - a)
             lists = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * BANDS, pa.array(band.astype(np.int64).ravel()))
             marks = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * (BITS // 64), pa.array(bits.ravel()))
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size.astype(np.int64)), *(pa.array(d.astype(np.int64)) for d in digest), lists, marks], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
+        trim()
 
 
-def _distinct_sets(texts: list) -> list[np.ndarray]:
-    out = []
-    for a, b, buf, offs in slices(pa.array(texts, pa.string())):
-        starts, ends, rows = word_bounds(buf, offs)
-        h, r = shingles(word_hashes(buf, starts, ends), rows, b - a)
-        order = np.argsort(r, kind="stable")
-        cut = np.searchsorted(r[order], np.arange(b - a + 1))
-        out += [np.unique(h[order[x:y]]) for x, y in zip(cut[:-1], cut[1:])]
-    return out
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, set_a, elements) of rows (doc_id, text)."""
+    for batch in batches:
+        for a, b, hashes, rows in _shingled(batch.column(1)):
+            low, _, size = distinct_sets(hashes, rows, b - a)
+            cut = np.r_[0, np.cumsum(size)]
+            data = [low[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests(low, size)[0].astype(np.int64)), pa.array(data, pa.binary())], ["doc_id", "set_a", "elements"])
+        trim()
+
+
+def _digested(names: list[str], place: int):
+    """Rows as they are, and the digests of their texts' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, hashes, rows in _shingled(batch.column(place)):
+                low, _, size = distinct_sets(hashes, rows, b - a)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array(d.astype(np.int64)) for d in digests(low, size))], names)
+
+    return run
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by centre, the centre's text first; one set is held at a time."""
+        """Rows come by centre, the centre's set first; one set is held at a time."""
         centre, own = None, np.zeros(0, U64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                c, other, kind, text = (part.column(j).to_pylist() for j in range(4))
-                links = []
-                for x, y, k, s in zip(c, other, kind, _distinct_sets(text)):
-                    if k == 0:
-                        centre, own = x, s
-                    elif x == centre:
-                        both = len(np.intersect1d(own, s, assume_unique=True))
-                        links.append((x, y, 100 * both >= percent * (len(own) + len(s) - both)))
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*links), (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
+            c, other, kind = (batch.column(j).to_pylist() for j in range(3))
+            links = []
+            for k, (x, y, what) in enumerate(zip(c, other, kind)):
+                s = np.frombuffer(batch.column(3)[k].as_buffer(), U64)
+                if what == 0:
+                    centre, own = x, s.copy()
+                elif x == centre:
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    links.append((x, y, 100 * both >= percent * (len(own) + len(s) - both)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*links), (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
+        trim()
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
-    """(a, b, linked) for each pair a < b, on the full sets; a centre with many partners is copied to several groups."""
+def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs but for most that ids (doc_id) lacks: a broadcast Bloom filter of bounded size, in the JVM."""
+    blocks = blocks_for(ids.count())
+    return probe(docs, bloom(ids, "doc_id", blocks), "doc_id", blocks).where("possible").drop("possible")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, named: DataFrame | None = None, percent: int = 75) -> DataFrame:
+    """(a, b, linked) for each pair a < b, on the full sets; a centre with many partners is copied to several groups.
+
+    a and b are ids, or where ids repeat keys of named (key, doc_id, set_a)."""
     spark = pairs.sparkSession
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = keep(asked.select(F.col("key").alias("doc_id")) if named is None else asked.join(named, "key"), "asked")
+    sets = _narrowed(docs, asked).select("doc_id", "text").mapInArrow(_sets, "doc_id long, set_a long, elements binary")
+    if named is None:
+        sets = keep(sets.select(F.col("doc_id").alias("key"), "elements"), "sets")
+    else:
+        sets = keep(sets.dropDuplicates(["doc_id", "set_a"]).join(asked, ["doc_id", "set_a"]).select("key", "elements"), "sets")
+    forget(asked)
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).alias("groups"))
-    pairs = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
-    members = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", F.lit(1).alias("kind"), "text", "salt")
-    centres = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).join(texts.withColumnRenamed("doc_id", "a"), "a")
-    rows = members.unionByName(centres.select("a", F.col("a").alias("b"), F.lit(0).alias("kind"), "text", "salt"))
+    dealt = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
+    members = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "b", F.lit(1).alias("kind"), "elements", "salt")
+    centres = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).join(sets.withColumnRenamed("key", "a"), "a")
+    rows = members.unionByName(centres.select("a", F.col("a").alias("b"), F.lit(0).alias("kind"), "elements", "salt"))
     rows = rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind").drop("salt")
-    return rows.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
+    verdicts = keep(rows.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "links")
+    forget(sets)
+    return verdicts
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one v and no v is itself a u: then v is the smallest vertex that u reaches."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 or up > 0 and top > 0").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every vertex of edges; component is the smallest id reachable. Large and small stars in turn."""
     tall = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(tall):
         both = tall.unionByName(tall.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        tall = keep(small, "edges")
-        now = tuple(tall.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if now == before:
-            break
-        before = now
-    return tall.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tall.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        past, tall = tall, keep(small, "edges")
+        forget(past)
+    out = keep(tall.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tall.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    forget(tall)
+    return out
 
 
 #: The words of a bitmap as columns; a test of two rows then stays small enough to be compiled.
@@ -179,69 +235,112 @@ def _possible(percent: int):
     return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("c_n")))
 
 
-def _links(buckets: DataFrame, bits: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the classes of buckets (bucket, id, n), with bits of each id, by stars around CENTRES[0], CENTRES[1], ... centres of a bucket, then around all that are left."""
-    empty = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    links, checked, of = empty, empty, empty.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    bits, of_centres = bits.select("id", *marks("bits")), bits.select(F.col("id").alias("c"), *marks("bits", "c_"))
-    for most in (*CENTRES, None):
-        state = buckets.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("centre"))
-        several = parts.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("size", "component")).alias("top")).where("x < y")
-        if most is None:
-            centres = state.join(several.select("bucket", F.col("top.component").alias("top")), "bucket").where("component <> top")
-            centres = centres.select("bucket", F.col("id").alias("c"), F.col("n").alias("c_n"), F.col("component").alias("c_component"))
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "centre.id"))
-            centres = parts.withColumn("place", place).where(F.col("place") <= most).join(several, "bucket", "left_semi")
-            centres = centres.select("bucket", F.col("centre.id").alias("c"), F.col("centre.n").alias("c_n"), F.col("component").alias("c_component"))
-        centres = keep(centres, "centres")
-        state = keep(state.join(centres.select("bucket").distinct(), "bucket", "left_semi").join(bits, "id"), "buckets")
-        met = keep(centres.join(of_centres, "c"), "centres")
-        spokes = state.join(met, "bucket").where(F.col("component") != F.col("c_component")).where(_possible(percent))
-        pairs = keep(spokes.select(F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        verdicts = keep(confirm(pairs, texts, percent), "links")
-        new = verdicts.where("linked").select("a", "b")
-        links = links.unionByName(new)
-        if most is not None:
-            checked = checked.unionByName(verdicts.select("a", "b"))
-            of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
-            buckets = state.join(centres.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
-    return links
+def _links(classes: DataFrame, docs: DataFrame, percent: int, repeats: bool) -> DataFrame:
+    """Links (a, b) that join the classes (key, rep, set_a, n, bands, bits) of each bucket."""
+    named = classes.select("key", F.col("rep").alias("doc_id"), "set_a") if repeats else None
+    bits = classes.select("key", *marks("bits"))
+    of_centres = bits.select(F.col("key").alias("c"), *(F.col(m).alias("c_" + m) for m in (*MARKS, "ones")))
+    like_sized = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
+
+    def tested(met: DataFrame, texts: DataFrame, before: DataFrame | None) -> DataFrame:
+        """Verdicts on the pairs of met (key, n, c, c_n) that may be alike."""
+        pairs = met.where((F.col("key") != F.col("c")) & like_sized).select("key", "n", "c", "c_n").distinct()
+        if before is not None:
+            done = before.select(F.col("a").alias("c"), F.col("b").alias("key"))
+            done = done.unionByName(done.select(F.col("key").alias("c"), F.col("c").alias("key")))
+            pairs = pairs.join(done, ["key", "c"], "left_anti")
+        near = pairs.join(bits, "key").join(of_centres, "c").where(_possible(percent))
+        pairs = keep(near.select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b")).distinct(), "pairs")
+        verdicts = confirm(pairs, texts, named, percent)
+        forget(pairs)
+        return verdicts
+
+    spread = classes.select(F.explode("bands").alias("bucket"), "key", "n")
+    firsts = spread.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("last")).where("first.key < last")
+    shared = keep(spread.join(firsts.select("bucket", F.col("first.key").alias("c"), F.col("first.n").alias("c_n")), "bucket"), "buckets")
+    verdicts = tested(shared, docs, None)
+    texts, left, most = docs, shared.where("key <> c").select("bucket", "key", "n"), 1
+    while True:
+        of = components(verdicts.where("linked"))
+        state = left.join(of.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        several = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+        state = keep(state.join(several, "bucket", "left_semi"), "buckets")
+        forget(shared, of)
+        if state.isEmpty():
+            forget(state)
+            return verdicts.where("linked").select("a", "b")
+        if texts is docs:  # from now on only these come up
+            ids = state.select("key").distinct()
+            ids = keep(ids.withColumnRenamed("key", "doc_id") if named is None else ids.join(named, "key").select("doc_id"), "ids")
+            texts = keep(_narrowed(docs, ids), "texts")
+            forget(ids)
+        parts = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("centre"))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "centre.key"))
+        centres = parts.withColumn("place", place).where(F.col("place") <= most)
+        centres = keep(centres.select("bucket", F.col("centre.key").alias("c"), F.col("centre.n").alias("c_n"), F.col("component").alias("c_component")), "centres")
+        new = tested(state.join(centres, "bucket").where("component <> c_component"), texts, verdicts)
+        past, verdicts = verdicts, keep(verdicts.unionByName(new), "links")
+        left = state.join(centres.select("bucket", F.col("c").alias("key")), ["bucket", "key"], "left_anti").select("bucket", "key", "n")
+        forget(past, new)
+        shared, most = state, most * GROWTH
+
+
+def _classified(docs: DataFrame, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """(doc_id, n_shingles, set_a, set_b) of all rows; (set_a, set_b, n_shingles, key, rep, component) of all classes; whether ids repeat.
+
+    by_id: rows of one id are one vertex, and component its smallest id; else texts are told apart by their classes alone."""
+    rows = keep(docs.mapInArrow(_sketches, _FEATURES), "sketches")
+    repeats = not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    usable = rows.where("doc_id is not null and n_shingles > 0")
+    classes = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    key = F.col("rep")
+    if repeats:  # an id may stand for several classes: the others get keys of their own
+        place = F.row_number().over(Window.partitionBy("rep").orderBy("set_a", "set_b"))
+        key = F.when(F.col("_place") == 1, F.col("rep")).otherwise(F.xxhash64("rep", "set_a", "set_b"))
+        classes = classes.withColumn("_place", place)
+    classes = keep(classes.select("set_a", "set_b", "n_shingles", "rep", key.alias("key"), F.col("n_shingles").alias("n"), "bands", "bits"), "classes")
+    links = _links(classes, docs.where("doc_id is not null"), percent, repeats)
+    if repeats and by_id:
+        same = usable.join(classes.select("set_a", "set_b", "n_shingles", "key"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "key").distinct()
+        low = same.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id", "a")
+        links = links.unionByName(same.join(low, "doc_id").where("key <> a").select("a", F.col("key").alias("b")))
+    of = components(links).withColumnRenamed("id", "key")
+    named = classes.drop("bands", "bits", "n").join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    if repeats and by_id:
+        smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
+        named = named.join(smallest, "component").drop("component").withColumnRenamed("smallest", "component")
+    return rows.drop("bands", "bits"), named, repeats
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (columns doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = keep(docs.mapInArrow(_sketches, _FEATURES), "sketches")
-    usable = rows.where("doc_id is not null and n_shingles > 0")
-    classes = keep(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
-    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.first("text").alias("text")) if _repeats(rows) else docs.where("doc_id is not null")
-    links = _links(classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), classes.select(F.col("rep").alias("id"), "bits"), texts, percent)
-    # rows of one id with different texts are one vertex
-    same = usable.join(classes.drop("bands", "bits"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
-    if _repeats(rows):
-        links = links.unionByName(same.where("a <> b").select("a", "b"))
-        of = components(links).select(F.col("id").alias("doc_id"), "component")
-        out = rows.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    else:
-        of = components(links).select(F.col("id").alias("a"), "component")
-        reps = same.join(of, "a", "left").select(F.col("b").alias("doc_id"), F.coalesce("component", "a").alias("component_id"))
-        out = rows.select("doc_id", "n_shingles").join(reps, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-
-
-def _repeats(rows: DataFrame) -> bool:
-    """Whether an id has several rows; decides only how they are brought together."""
-    return bool(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    rows, named, _ = _classified(docs, percent, True)
+    on = ["set_a", "set_b", "n_shingles"]
+    lone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = rows.where("doc_id is not null and n_shingles > 0").join(named.select(*on, "component"), on).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return out.unionByName(lone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Stage: of each group of near-duplicates the smallest id stays, once; rows without an id stay."""
-    marks = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = docs.join(marks, "doc_id", "left_semi")
-    if marks.where("n > 1").limit(1).count():  # rows of one id are one vertex: the one of the smallest text stays
-        place = next(f"_place{k}" for k in range(len(docs.columns) + 1) if f"_place{k}" not in docs.columns)
-        order = Window.partitionBy("doc_id").orderBy("text")
-        stay = stay.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
-    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Stage: of each group of near-duplicates the smallest id stays, once. Rows without an id or without words stay, but for exact
+    repeats of a row's id and text; rows of one id with unlike texts are different documents here."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, named, repeats = _classified(slim, 75, False)
+    on = ["set_a", "set_b", "n_shingles"]
+    of = rows.where("doc_id is not null and n_shingles > 0").join(named.select(*on, "component"), on)
+    if not repeats:
+        first = of.groupBy("component").agg(F.min("doc_id").alias("first"))
+        gone = keep(of.join(first, "component").where("doc_id <> first").select("doc_id"), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    stays = of.groupBy("component").agg(F.min(F.struct("doc_id", *on)).alias("first")).select("first.*")
+    free = [f"_{k}" for k in range(len(docs.columns) + 9) if f"_{k}" not in docs.columns]
+    a, b, c = free[:3]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{a}` long", f"`{b}` long"])
+    marked = docs.where("doc_id is not null").mapInArrow(_digested([*docs.columns, a, b], docs.columns.index("text")), schema)
+    stays = keep(stays.select("doc_id", F.col("set_a").alias(a), F.col("set_b").alias(b)), "stays")
+    lone = marked.where((F.col(a) == 0) & (F.col(b) == 0))
+    found = marked.join(stays, ["doc_id", a, b], "left_semi").unionByName(lone)
+    least = F.min(F.struct("text", *(x for x in docs.columns if x != "text"))).alias(c)
+    once = found.groupBy("doc_id", a, b).agg(least).select(*(F.col(f"{c}.{x}").alias(x) for x in docs.columns))
+    return once.unionByName(docs.where("doc_id is null"))

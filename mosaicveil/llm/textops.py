@@ -94,15 +94,35 @@ def powers(n: int) -> np.ndarray:
     return have
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word, A-Z as a-z if lower."""
-    if not len(starts):
-        return np.zeros(0, U64)
+#: Bytes that are hashed at once; what a hash needs on the way is some 50 times as much.
+_PIECE = 1 << 19
+
+
+def _sums(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> np.ndarray:
     size = ends - starts
     flat = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)  # place within the word
-    value = (_BYTE_LOWER if lower else _BYTE)[buf[np.repeat(starts, size) + flat]]
+    value = code[buf[np.repeat(starts, size) + flat]]
+    return np.add.reduceat(value * powers(int(size.max()))[flat], np.cumsum(size) - size)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each word, A-Z as a-z if lower. Goes by pieces of bounded size, also through a single huge word."""
+    code, out = _BYTE_LOWER if lower else _BYTE, np.zeros(len(starts), U64)
+    total = np.r_[0, np.cumsum(ends - starts)]
+    at = 0
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(value * powers(int(size.max()))[flat], np.cumsum(size) - size) + U64(1))
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(total, total[at] + _PIECE, "right")) - 1)
+            if total[end] - total[at] <= _PIECE:
+                out[at:end] = _sums(buf, starts[at:end], ends[at:end], code)
+            else:
+                step, scale = powers(_PIECE + 1)[_PIECE], U64(1)
+                for a in range(int(starts[at]), int(ends[at]), _PIECE):
+                    b = min(a + _PIECE, int(ends[at]))
+                    out[at] += scale * _sums(buf, np.array([a]), np.array([b]), code)[0]
+                    scale = scale * step
+            at = end
+        return mix(out + U64(1))
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

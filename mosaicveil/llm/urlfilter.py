@@ -1,7 +1,8 @@
 """URL verdicts: host and path rules first, then a list of canonical URLs behind a blocked Bloom filter.
 
 The list may be of any length. Each listed URL sets one bit in each of the eight 32-bit words of one block; blocks are OR-ed by a
-partially aggregated group-by into at most BLOCKS rows (256 KB of words each MB), a proven bound, so the block table is broadcast.
+partially aggregated group-by. Their number follows the list's count, some 16 URLs a block, up to BLOCKS (4 MB of words), a proven
+bound, so the block table is broadcast; a longer list fills the blocks and sends more URLs on to the join, which stays exact.
 URLs whose bits are all set are possible hits and go on to a hash join with the list itself, which removes the false ones.
 
 host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the end;
@@ -19,7 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS, WORDS = 1 << 15, 8
+BLOCKS, WORDS, PER_BLOCK = 1 << 17, 8, 16
 #: (verdict, domain, start of the path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -56,24 +57,29 @@ def ruled(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return pick(lambda r: r[1] + r[2]), pick(lambda r: r[0])
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS))
+def blocks_for(count: int) -> int:
+    """Number of blocks, a power of two, for so many keys."""
+    return min(BLOCKS, 1 << max(0, (count // PER_BLOCK).bit_length()))
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
 def _bit(key: Column, w: int) -> Column:
     return F.call_function("shiftleft", F.lit(1), F.pmod(F.xxhash64(key, F.lit(w + 1)), F.lit(32)).cast("int"))
 
 
-def bloom(listed: DataFrame, key: str = "canonical") -> DataFrame:
-    """At most BLOCKS rows: block and its eight words."""
+def bloom(listed: DataFrame, key: str = "canonical", blocks: int = BLOCKS) -> DataFrame:
+    """At most so many rows: block and its eight words."""
     words = [F.bit_or(_bit(F.col(key), w)).alias(f"w{w}") for w in range(WORDS)]
-    return listed.where(F.col(key).isNotNull()).groupBy(_block(F.col(key)).alias("_block")).agg(*words)
+    return listed.where(F.col(key).isNotNull()).groupBy(_block(F.col(key), blocks).alias("_block")).agg(*words)
 
 
-def probe(urls: DataFrame, blocks: DataFrame, key: str = "canonical") -> DataFrame:
-    """Adds possible: false only for URLs that are surely not listed."""
+def probe(urls: DataFrame, table: DataFrame, key: str = "canonical", blocks: int = BLOCKS) -> DataFrame:
+    """Adds possible: false only for keys that are surely not listed."""
     hit = functools.reduce(lambda a, b: a & b, [F.col(f"w{w}").bitwiseAND(_bit(F.col(key), w)) == _bit(F.col(key), w) for w in range(WORDS)])
-    joined = urls.withColumn("_block", _block(F.col(key))).join(F.broadcast(blocks), "_block", "left")
+    joined = urls.withColumn("_block", _block(F.col(key), blocks)).join(F.broadcast(table), "_block", "left")
     return joined.withColumn("possible", F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("_block", *(f"w{w}" for w in range(WORDS)))
 
 
@@ -82,7 +88,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     listed = listed.select(F.col("canonical").alias("_listed")).where("_listed is not null").distinct()
     rule, verdict = ruled(rules)
     rows = split(pages.select("page_id", "url")).withColumn("canonical", canonical(F.col("host"), F.col("path")))
-    rows = probe(rows.withColumn("rule", rule).withColumn("_ruled", verdict), bloom(listed, "_listed"))
+    blocks = blocks_for(listed.count())
+    rows = probe(rows.withColumn("rule", rule).withColumn("_ruled", verdict), bloom(listed, "_listed", blocks), blocks=blocks)
     sure = rows.where("not possible").withColumn("listed", F.lit(False))
     asked = rows.where("possible").join(listed, F.col("canonical") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
     out = sure.unionByName(asked)

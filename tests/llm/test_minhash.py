@@ -63,6 +63,24 @@ def test_repeated_rows_share_a_vertex(spark):
     assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()} == {(1, 1), (2, 1)}
 
 
+def test_each_text_of_a_repeated_id_is_compared(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    df = spark.createDataFrame([(1, a), (1, b), (5, b + " more"), (6, a + " more"), (9, "alone")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (9, 9)}
+    assert sorted((r.doc_id, r.text) for r in minhash.one_of_each(df).collect()) == [(1, a), (1, b), (9, "alone")]
+
+
+def test_long_words_hash_alike_in_pieces(monkeypatch):
+    from mosaicveil.llm import textops
+
+    buf = np.frombuffer(b"Ab" * 500 + b" x " + b"yZ" * 40, np.uint8)
+    starts, ends, _ = textops.word_bounds(buf, np.array([0, len(buf)]))
+    whole = textops.word_hashes(buf, starts, ends)
+    monkeypatch.setattr(textops, "_PIECE", 64)
+    assert (textops.word_hashes(buf, starts, ends) == whole).all() and len(whole) == 3
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in minhash.components(edges).collect()}
@@ -73,8 +91,9 @@ def test_one_stays_of_each_group(spark):
     text = " ".join(f"w{k}" for k in range(80))
     df = spark.createDataFrame([(2, text, "x"), (1, text + " more", "y"), (3, "alone", "z")], "doc_id long, text string, note string")
     assert sorted(r.doc_id for r in minhash.one_of_each(df).collect()) == [1, 3]
-    twice = df.unionByName(df).unionByName(spark.createDataFrame([(1, "another text", "w"), (None, text, "v")], df.schema))
-    assert sorted((r.doc_id or 0) for r in minhash.one_of_each(twice).collect()) == [0, 1, 3]
+    twice = df.unionByName(df).unionByName(spark.createDataFrame([(1, "another text", "w"), (None, text, "v"), (7, "", "u"), (7, "", "u"), (8, None, "u")], df.schema))
+    got = sorted((r.doc_id or 0, r.text) for r in minhash.one_of_each(twice).collect() if r.doc_id != 8)
+    assert got == [(0, text), (1, "another text"), (1, text + " more"), (3, "alone"), (7, "")]
 
 
 def test_groups_of_loosely_like_texts_equal_brute_force(spark):
@@ -94,8 +113,7 @@ def test_groups_of_loosely_like_texts_equal_brute_force(spark):
     assert got == brute([(int(i), t) for i, t in rows])
 
 
-def test_last_round_alone_finds_every_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CENTRES", ())
+def test_every_growth_of_rounds_finds_every_link(spark, monkeypatch):
     rng = np.random.default_rng(9)
     base, rows = [f"w{k}" for k in range(80)], []
     for k in range(120):
@@ -104,8 +122,10 @@ def test_last_round_alone_finds_every_link(spark, monkeypatch):
             words[place] = f"x{rng.integers(1 << 40)}"
         rows.append((k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
-    assert got == brute(rows)
+    for growth in (2, 1000):
+        monkeypatch.setattr(minhash, "GROWTH", growth)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+        assert got == brute(rows)
 
 
 def test_bitmaps_never_refuse_a_like_pair(spark):
