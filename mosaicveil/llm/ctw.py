@@ -34,6 +34,8 @@ from .textops import U64, mix, slices, trim, word_bounds, word_hashes
 
 DEPTH, FREQUENT = 5, 1 << 19
 SPLIT, SLICE = 3, 8 << 20
+#: Shards for each shuffle partition; a task holds one shard at a time.
+SHARDS = 4
 _START, _STOP = 0xFE, 0xFF  # bytes that UTF-8 does not use
 _END_TOKEN = U64(0x6A09E667F3BCC909)
 _HOLD = 3_000_000  # keys that a task holds before it counts them
@@ -70,7 +72,8 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
+    """Distinct keys and their counts; keys is sorted in its place."""
+    keys.sort()
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.diff(np.r_[first, len(keys)])
 
@@ -418,6 +421,13 @@ def _runs(offs: bytes, text: bytes) -> Iterator[tuple[int, int, np.ndarray, np.n
         at = end
 
 
+def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards of sorted keys, ascending, and the order of the keys that goes with them."""
+    shard = (mix((keys >> U64(8)) & _mask(SPLIT)) % U64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    return shard[order], order
+
+
 def _asker(shards: int):
     """For each slice and shard one row: the slice's distinct keys there and how often its training rows have them."""
 
@@ -433,9 +443,8 @@ def _asker(shards: int):
                 trained, keys = np.where(keys & U64(1), n, 0), keys >> U64(1)
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 keys, n = keys[first], np.add.reduceat(trained, first)
-                shard = (mix((keys >> U64(8)) & _mask(SPLIT)) % U64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                shard, keys, n = shard[order], keys[order], n[order]
+                shard, order = _dealt(keys, shards)
+                keys, n = keys[order], n[order].astype(np.uint32)
                 cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
                 pairs = list(zip(cut[:-1], cut[1:]))
                 yield pa.RecordBatch.from_arrays(
@@ -462,7 +471,7 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, keys, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if shard != last and parts:
                 yield from grown()
-            last, n = shard, np.frombuffer(n, np.int64)
+            last, n = shard, np.frombuffer(n, np.uint32).astype(np.int64)
             parts.append((_keys(keys)[n > 0], n[n > 0]))
             if sum(len(k) for k, _ in parts[1:]) > _HOLD:
                 parts[:] = [_merge(parts)]
@@ -472,7 +481,7 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answerer(shared):
-    """Bits of each asked key; of each shard its tree comes first (slice -1), then what the slices ask."""
+    """Bits of the asked keys, in their order; of each shard its tree comes first (slice -1), then what the slices ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
@@ -481,29 +490,33 @@ def _answerer(shared):
                 shard, number, keys, n = (batch.column(c)[k].as_py() for c in range(4))
                 keys = _keys(keys)
                 if shard != last:
+                    tree = None  # the last one goes first
                     tree = Subtrees(keys, np.frombuffer(n, np.int64)) if number < 0 else Subtrees(keys[:0], np.zeros(0, np.int64))
                     tree.open(shared.value)
                     last = shard
                 if number >= 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_bytes(keys)]), pa.array([tree.log2(keys).astype(np.float32).tobytes()])], ["slice", "keys", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int32()), pa.array([tree.log2(keys).astype(np.float32).tobytes()])], ["slice", "shard", "bits"])
         trim()
 
     return run
 
 
-def _scorer(shared, n_tokens: int, n_distinct: int, floor: int):
-    """floor: the least count of broadcast tokens; a token not among them has fewer or none."""
+def _scorer(shared, n_tokens: int, n_distinct: int, floor: int, shards: int):
+    """floor: the least count of broadcast tokens; a token not among them has fewer or none. Answers name no keys: a slice makes
+    the list that it asked anew."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         frequent = shared.value
         absent = np.log10(0.1 / (n_tokens + 0.1 * (n_distinct + 1)))
-        known_keys = np.concatenate([_keys(k) for k in answers["keys"].to_pylist()])
-        known_bits = np.concatenate([np.frombuffer(b, np.float32) for b in answers["bits"].to_pylist()])
-        order = np.argsort(known_keys)
-        known_keys, known_bits = known_keys[order], known_bits[order].astype(np.float64)
+        raw, offsets = texts["text"][0].as_py(), texts["offs"][0].as_py()
+        known_keys, _ = _distinct(np.concatenate([grams(buf, offs)[0] for _, _, buf, offs in _runs(offsets, raw)]))
+        told = sorted(zip(answers["shard"].to_pylist(), answers["bits"].to_pylist()))
+        known_bits = np.empty(len(known_keys))
+        known_bits[_dealt(known_keys, shards)[1]] = np.concatenate([np.frombuffer(b, np.float32) for _, b in told])
+        del told
         ids, folds = (pa.concat_arrays([x.values for x in texts[c].combine_chunks().slice(0, 1)]) for c in ("doc_id", "held_out"))
         row, out = texts["slice"][0].as_py(), []
-        for a, b, buf, offs in _runs(texts["offs"][0].as_py(), texts["text"][0].as_py()):
+        for a, b, buf, offs in _runs(offsets, raw):
             n = b - a
             keys, first = grams(buf, offs)
             order = np.argsort(keys)
@@ -587,17 +600,17 @@ def fit(docs: DataFrame, depth: int = DEPTH, capacity: int | None = None) -> tup
     return model, counts.where("kind = 1").select("key", "n")
 
 
-def answers(packed: DataFrame) -> DataFrame:
-    """(slice, keys, bits): log2 probability, by the whole tree of the training rows, of all symbols in context that a slice has."""
+def answers(packed: DataFrame, shards: int) -> DataFrame:
+    """(slice, shard, bits): log2 probability, by the whole tree of the training rows, of all symbols in context that a slice has."""
     spark = packed.sparkSession
     n = partitions(spark)
-    asked = keep(packed.mapInArrow(_asker(n), "shard int, slice long, keys binary, n binary"), "asked")
+    asked = keep(packed.mapInArrow(_asker(shards), "shard int, slice long, keys binary, n binary"), "asked")
     trees = asked.select("shard", "keys", "n").repartition(n, "shard").sortWithinPartitions("shard")
     trees = keep(trees.mapInArrow(_grow, "shard int, keys binary, n binary, node array<long>, z array<double>, o array<double>, w array<double>"), "trees")
     sums = trees.select(F.inline(F.arrays_zip("node", "z", "o", "w"))).groupBy("node").agg(*(F.sum(c).alias(c) for c in "zow")).orderBy("node").toArrow()
     shared = spark.sparkContext.broadcast(top_of(sums["node"].to_numpy().astype(np.int64).view(U64), *(sums[c].to_numpy() for c in "zow")))
     both = trees.select("shard", F.lit(-1).cast("long").alias("slice"), "keys", "n").unionByName(asked.withColumn("n", F.lit(None).cast("binary")))
-    return both.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_answerer(shared), "slice long, keys binary, bits binary")
+    return both.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_answerer(shared), "slice long, shard int, bits binary")
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT, slice_bytes: int = SLICE) -> DataFrame:
@@ -616,7 +629,8 @@ def score(docs: DataFrame, frequent: int = FREQUENT, slice_bytes: int = SLICE) -
     trim()
     shared = docs.sparkSession.sparkContext.broadcast(table)
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
-    scored = packed.groupBy("slice").cogroup(answers(packed).groupBy("slice")).applyInArrow(_scorer(shared, n, v, floor), kinds)
+    shards = SHARDS * partitions(docs.sparkSession)
+    scored = packed.groupBy("slice").cogroup(answers(packed, shards).groupBy("slice")).applyInArrow(_scorer(shared, n, v, floor, shards), kinds)
     if floor > 1:
         scored = keep(scored, "scores")
         rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
