@@ -10,13 +10,13 @@ one, has an empty set and is linked with nothing). One pass over the texts gives
 * 32 bands of 4 bins: two sets of similarity 0.75 miss each other in all bands with probability 5e-6.
 
 Classes of a bucket meet its smallest class only, a star, so a bucket of n costs n - 1 candidates. Only buckets of two classes and
-more are written and only they come up again: while one holds several components, its smallest components (outliers of a large
-group come first) send out one centre each, at most GROWTH ** round of them; a centre meets the members of all other components of
-the bucket and then leaves it. The rounds end when every bucket is one component, or all its members have been centres, so nothing in
-a bucket stays untested, and no round makes more candidates than its centres times the bucket. Candidates pass a bound on sizes and
-on bitmaps (1024 bits of shingle hashes) that no like pair fails; those that pass are confirmed on the two full sets. Texts are read
-through a Bloom filter of the candidates' ids and travel as sets, once a round; after the first round only those of buckets that are
-not settled are kept. Links are joined into components by alternating large and small stars.
+more are written and only they come up again. Where the links leave several components in a bucket, what lies outside its largest one
+forms a second star, around a member of the largest that a hash draws for each bucket: outliers of a large group meet as many different
+members as they share buckets. What then still lies outside is compared with all other components of its bucket, in one grouped pass by
+parts of about BLOCK rows, sizes and bitmaps (1024 bits of shingle hashes) in memory: only pairs that pass a bound that no like pair fails
+come out. So nothing that shares a bucket stays apart untested. The stars go through the same bound, and all that pass are
+confirmed on the two full sets. Texts are read through a Bloom filter of the candidates' ids and travel as sets; after the first
+star only those of buckets that are not settled are kept. Links are joined into components by alternating large and small stars.
 
 Repeated rows of one id count as the same vertex, also where their texts differ (each text is compared for itself); null ids take
 part under no component (component_id is null, kept is true). Ties go to the smaller id. Extra columns are ignored, whatever their
@@ -38,8 +38,8 @@ from .textops import U64, mix, shingles, slices, trim, word_bounds, word_hashes
 from .urlfilter import blocks_for, bloom, probe
 
 BINS, BANDS, BITS, HOT = 128, 32, 1024, 500
-#: Centres of a bucket in round k after the first: this to the power k - 1.
-GROWTH = 8
+#: Rows of one side that a grouped pass holds at a time.
+BLOCK = 2048
 SLICE = 1 << 20
 _FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
@@ -235,6 +235,73 @@ def _possible(percent: int):
     return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("c_n")))
 
 
+def _unsettled(buckets: DataFrame, of: DataFrame) -> DataFrame:
+    """(bucket, key, n, component) of the buckets (bucket, key, n) that hold several components."""
+    state = buckets.join(of.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    several = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    return keep(state.join(several, "bucket", "left_semi"), "buckets")
+
+
+def _largest(state: DataFrame) -> DataFrame:
+    """Of each bucket its size, its largest component, a member of that (c, c_n) drawn by hash, and the number of rows outside it."""
+    drawn = F.struct("key", "n")
+    parts = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min_by(drawn, F.xxhash64("bucket", "key")).alias("drawn"))
+    found = parts.groupBy("bucket").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component", "drawn")).alias("top"))
+    return found.select("bucket", "size", (F.col("size") - F.col("top.size")).alias("out"), F.col("top.component").alias("top"), F.col("top.drawn.key").alias("c"), F.col("top.drawn.n").alias("c_n"))
+
+
+def _blocks(percent: int):
+    def pairs(members: list, outer: list) -> pa.RecordBatch | None:
+        (key, n, comp, bits), (o_key, o_n, o_comp, o_bits) = ([np.concatenate(c) for c in zip(*x)] for x in (members, outer))
+        order = np.argsort(n, kind="stable")
+        key, n, comp, bits = key[order], n[order], comp[order], bits[order]
+        spare, o_spare = (m - np.bitwise_count(x).sum(1) for m, x in ((n, bits), (o_n, o_bits)))
+        found = []
+        for k in range(len(o_key)):
+            a, b = np.searchsorted(n, -(-percent * o_n[k] // 100)), np.searchsorted(n, 100 * o_n[k] // percent, "right")
+            common = np.minimum(spare[a:b], o_spare[k]) + np.bitwise_count(bits[a:b] & o_bits[k]).sum(1)
+            met = a + np.flatnonzero(((100 + percent) * common >= percent * (n[a:b] + o_n[k])) & (comp[a:b] != o_comp[k]))
+            found.append(np.c_[np.minimum(key[met], o_key[k]), np.maximum(key[met], o_key[k])])
+        every = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"]) if len(every) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, block, part, outer, key, n, component, bits), in order of the first four: members, then those they meet."""
+        last, held = None, ([], [])
+        for batch in batches:
+            where = np.stack([batch.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(4)], 1)
+            rows = [batch.column(j).to_numpy() for j in (4, 5, 6)]
+            bits = batch.column(7).flatten().to_numpy().astype(np.int64).view(U64).reshape(len(batch), -1)
+            cut = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, len(batch)]
+            for x, y in zip(cut[:-1], cut[1:]):
+                group = tuple(where[x, :3])
+                if group != last:
+                    if held[0] and held[1] and (out := pairs(*held)) is not None:
+                        yield out
+                    last, held = group, ([], [])
+                held[where[x, 3]].append((*(c[x:y].copy() for c in rows), bits[x:y].copy()))
+        if held[0] and held[1] and (out := pairs(*held)) is not None:
+            yield out
+        trim()
+
+    return run
+
+
+def _met(state: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be alike, of each row outside its bucket's largest component with all rows of other components of the bucket.
+
+    Both sides go in parts of about BLOCK rows, each part of one against each of the other in a task's memory; nothing is emitted
+    but what passes the bound."""
+    spark = state.sparkSession
+    rows = state.join(_largest(state).select("bucket", "size", "out", "top"), "bucket").join(bits, "key")
+    slot = lambda total, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col(total) / BLOCK))
+    every = lambda total: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(total) / BLOCK) - 1))
+    members = rows.select("bucket", slot("size", 1).alias("block"), every("out").alias("part"), F.lit(0).alias("outer"), "key", "n", "component", "bits")
+    outer = rows.where("component <> top").select("bucket", every("size").alias("block"), slot("out", 2).alias("part"), F.lit(1).alias("outer"), "key", "n", "component", "bits")
+    dealt = members.unionByName(outer).repartition(partitions(spark), "bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "outer")
+    return dealt.mapInArrow(_blocks(percent), "a long, b long").distinct()
+
+
 def _links(classes: DataFrame, docs: DataFrame, percent: int, repeats: bool) -> DataFrame:
     """Links (a, b) that join the classes (key, rep, set_a, n, bands, bits) of each bucket."""
     named = classes.select("key", F.col("rep").alias("doc_id"), "set_a") if repeats else None
@@ -242,47 +309,40 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int, repeats: bool) ->
     of_centres = bits.select(F.col("key").alias("c"), *(F.col(m).alias("c_" + m) for m in (*MARKS, "ones")))
     like_sized = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
 
-    def tested(met: DataFrame, texts: DataFrame, before: DataFrame | None) -> DataFrame:
-        """Verdicts on the pairs of met (key, n, c, c_n) that may be alike."""
-        pairs = met.where((F.col("key") != F.col("c")) & like_sized).select("key", "n", "c", "c_n").distinct()
-        if before is not None:
-            done = before.select(F.col("a").alias("c"), F.col("b").alias("key"))
-            done = done.unionByName(done.select(F.col("key").alias("c"), F.col("c").alias("key")))
-            pairs = pairs.join(done, ["key", "c"], "left_anti")
-        near = pairs.join(bits, "key").join(of_centres, "c").where(_possible(percent))
-        pairs = keep(near.select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b")).distinct(), "pairs")
+    def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        pairs = keep(pairs, "pairs")
         verdicts = confirm(pairs, texts, named, percent)
         forget(pairs)
-        return verdicts
+        return verdicts.where("linked").select("a", "b")
+
+    def star(met: DataFrame) -> DataFrame:
+        """Pairs of met (key, n, c, c_n) that may be alike."""
+        pairs = met.where((F.col("key") != F.col("c")) & like_sized).select("key", "n", "c", "c_n").distinct()
+        near = pairs.join(bits, "key").join(of_centres, "c").where(_possible(percent))
+        return near.select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b")).distinct()
 
     spread = classes.select(F.explode("bands").alias("bucket"), "key", "n")
     firsts = spread.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("last")).where("first.key < last")
     shared = keep(spread.join(firsts.select("bucket", F.col("first.key").alias("c"), F.col("first.n").alias("c_n")), "bucket"), "buckets")
-    verdicts = tested(shared, docs, None)
-    texts, left, most = docs, shared.where("key <> c").select("bucket", "key", "n"), 1
-    while True:
-        of = components(verdicts.where("linked"))
-        state = left.join(of.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        several = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        state = keep(state.join(several, "bucket", "left_semi"), "buckets")
-        forget(shared, of)
-        if state.isEmpty():
-            forget(state)
-            return verdicts.where("linked").select("a", "b")
-        if texts is docs:  # from now on only these come up
-            ids = state.select("key").distinct()
-            ids = keep(ids.withColumnRenamed("key", "doc_id") if named is None else ids.join(named, "key").select("doc_id"), "ids")
-            texts = keep(_narrowed(docs, ids), "texts")
-            forget(ids)
-        parts = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("centre"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "centre.key"))
-        centres = parts.withColumn("place", place).where(F.col("place") <= most)
-        centres = keep(centres.select("bucket", F.col("centre.key").alias("c"), F.col("centre.n").alias("c_n"), F.col("component").alias("c_component")), "centres")
-        new = tested(state.join(centres, "bucket").where("component <> c_component"), texts, verdicts)
-        past, verdicts = verdicts, keep(verdicts.unionByName(new), "links")
-        left = state.join(centres.select("bucket", F.col("c").alias("key")), ["bucket", "key"], "left_anti").select("bucket", "key", "n")
-        forget(past, new)
-        shared, most = state, most * GROWTH
+    links = linked(star(shared), docs)
+    of = components(links)
+    state = _unsettled(shared.select("bucket", "key", "n"), of)
+    forget(shared)
+    if state.isEmpty():
+        return links
+    ids = state.select("key").distinct()  # from now on only these come up
+    ids = keep(ids.withColumnRenamed("key", "doc_id") if named is None else ids.join(named, "key").select("doc_id"), "ids")
+    texts = keep(_narrowed(docs, ids), "texts")
+    forget(ids)
+    more = linked(star(state.join(_largest(state), "bucket").where("component <> top").select("key", "n", "c", "c_n")), texts)
+    past, of = of, components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    rest = _unsettled(state.select("bucket", "key", "n"), of)
+    forget(past, state, of)
+    links = links.unionByName(more)
+    if not rest.isEmpty():
+        links = links.unionByName(linked(_met(rest, classes.select("key", "bits"), percent), texts))
+    forget(rest, texts)
+    return links
 
 
 def _classified(docs: DataFrame, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame, bool]:

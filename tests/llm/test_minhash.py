@@ -113,7 +113,7 @@ def test_groups_of_loosely_like_texts_equal_brute_force(spark):
     assert got == brute([(int(i), t) for i, t in rows])
 
 
-def test_every_growth_of_rounds_finds_every_link(spark, monkeypatch):
+def test_every_size_of_blocks_finds_every_link(spark, monkeypatch):
     rng = np.random.default_rng(9)
     base, rows = [f"w{k}" for k in range(80)], []
     for k in range(120):
@@ -122,8 +122,8 @@ def test_every_growth_of_rounds_finds_every_link(spark, monkeypatch):
             words[place] = f"x{rng.integers(1 << 40)}"
         rows.append((k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for growth in (2, 1000):
-        monkeypatch.setattr(minhash, "GROWTH", growth)
+    for block in (3, 2048):
+        monkeypatch.setattr(minhash, "BLOCK", block)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
         assert got == brute(rows)
 
