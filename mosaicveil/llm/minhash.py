@@ -37,7 +37,7 @@ from .common import forget, keep, partitions
 from .textops import U64, mix, shingles, slices, trim, word_bounds, word_hashes
 from .urlfilter import blocks_for, bloom, probe
 
-BINS, BANDS, BITS, HOT = 128, 32, 1024, 500
+BINS, BANDS, BITS = 128, 32, 1024
 #: Rows of one side that a grouped pass holds at a time.
 BLOCK = 2048
 SLICE = 1 << 20
@@ -127,9 +127,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, hashes, rows in _shingled(batch.column(1)):
             low, _, size = distinct_sets(hashes, rows, b - a)
-            cut = np.r_[0, np.cumsum(size)]
-            data = [low[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests(low, size)[0].astype(np.int64)), pa.array(data, pa.binary())], ["doc_id", "set_a", "elements"])
+            data = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(low.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests(low, size)[0].astype(np.int64)), data], ["doc_id", "set_a", "elements"])
         trim()
 
 
@@ -145,55 +144,30 @@ def _digested(names: list[str], place: int):
     return run
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by centre, the centre's set first; one set is held at a time."""
-        centre, own = None, np.zeros(0, U64)
-        for batch in batches:
-            c, other, kind = (batch.column(j).to_pylist() for j in range(3))
-            links = []
-            for k, (x, y, what) in enumerate(zip(c, other, kind)):
-                s = np.frombuffer(batch.column(3)[k].as_buffer(), U64)
-                if what == 0:
-                    centre, own = x, s.copy()
-                elif x == centre:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    links.append((x, y, 100 * both >= percent * (len(own) + len(s) - both)))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*links), (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
-        trim()
-
-    return run
-
-
-def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs but for most that ids (doc_id) lacks: a broadcast Bloom filter of bounded size, in the JVM."""
-    blocks = blocks_for(ids.count())
+def _narrowed(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """Rows of docs but for nearly all whose id is not among the at most so many of ids: a broadcast Bloom filter of bounded size, in the JVM."""
+    blocks = blocks_for(most)
     return probe(docs, bloom(ids, "doc_id", blocks), "doc_id", blocks).where("possible").drop("possible")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, named: DataFrame | None = None, percent: int = 75) -> DataFrame:
-    """(a, b, linked) for each pair a < b, on the full sets; a centre with many partners is copied to several groups.
+    """The rows of pairs (a, b) that are linked, on the full sets; a set that many pairs ask for is joined in splits.
 
-    a and b are ids, or where ids repeat keys of named (key, doc_id, set_a)."""
-    spark = pairs.sparkSession
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    asked = keep(asked.select(F.col("key").alias("doc_id")) if named is None else asked.join(named, "key"), "asked")
-    sets = _narrowed(docs, asked).select("doc_id", "text").mapInArrow(_sets, "doc_id long, set_a long, elements binary")
+    a and b are ids, or where ids repeat keys of named (key, doc_id, set_a). pairs is read several times."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    ids = asked.withColumnRenamed("key", "doc_id") if named is None else asked.distinct().join(named, "key")
+    sets = _narrowed(docs, ids, 2 * pairs.count()).select("doc_id", "text").mapInArrow(_sets, "doc_id long, set_a long, elements array<long>")
     if named is None:
-        sets = keep(sets.select(F.col("doc_id").alias("key"), "elements"), "sets")
+        sets = sets.select(F.col("doc_id").alias("key"), "elements")
     else:
-        sets = keep(sets.dropDuplicates(["doc_id", "set_a"]).join(asked, ["doc_id", "set_a"]).select("key", "elements"), "sets")
-    forget(asked)
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).alias("groups"))
-    dealt = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
-    members = dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "b", F.lit(1).alias("kind"), "elements", "salt")
-    centres = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).join(sets.withColumnRenamed("key", "a"), "a")
-    rows = members.unionByName(centres.select("a", F.col("a").alias("b"), F.lit(0).alias("kind"), "elements", "salt"))
-    rows = rows.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "kind").drop("salt")
-    verdicts = keep(rows.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "links")
+        sets = sets.dropDuplicates(["doc_id", "set_a"]).join(ids, ["doc_id", "set_a"]).select("key", "elements")
+    sets = keep(sets, "sets")
+    of = lambda c: sets.select(F.col("key").alias(c), F.col("elements").alias("of_" + c))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    met = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    links = keep(met.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b"), "links")
     forget(sets)
-    return verdicts
+    return links
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -202,8 +176,8 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 or up > 0 and top > 0").isEmpty()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) for every vertex of edges; component is the smallest id reachable. Large and small stars in turn."""
+def _forest(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) for every vertex of edges that is not the smallest it reaches; a kept table. Large and small stars in turn."""
     tall = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while not _stars(tall):
         both = tall.unionByName(tall.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -213,11 +187,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         past, tall = tall, keep(small, "edges")
         forget(past)
-    out = keep(tall.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tall.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
-    forget(tall)
+    out = tall.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out.kept_at = tall.kept_at
     return out
 
 
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) for every vertex of edges; component is the smallest id reachable."""
+    found = _forest(edges, a, b)
+    return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+
+
 #: The words of a bitmap as columns; a test of two rows then stays small enough to be compiled.
 MARKS = [f"bits{k}" for k in range(BITS // 64)]
 
@@ -299,11 +279,11 @@ def _met(state: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     members = rows.select("bucket", slot("size", 1).alias("block"), every("out").alias("part"), F.lit(0).alias("outer"), "key", "n", "component", "bits")
     outer = rows.where("component <> top").select("bucket", every("size").alias("block"), slot("out", 2).alias("part"), F.lit(1).alias("outer"), "key", "n", "component", "bits")
     dealt = members.unionByName(outer).repartition(partitions(spark), "bucket", "block", "part").sortWithinPartitions("bucket", "block", "part", "outer")
-    return dealt.mapInArrow(_blocks(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_blocks(percent), "a long, b long").distinct()  # a pair may share several buckets
 
 
 def _links(classes: DataFrame, docs: DataFrame, percent: int, repeats: bool) -> DataFrame:
-    """Links (a, b) that join the classes (key, rep, set_a, n, bands, bits) of each bucket."""
+    """Edges (a, b) with the components of all links between the classes (key, rep, set_a, n, bands, bits) of each bucket."""
     named = classes.select("key", F.col("rep").alias("doc_id"), "set_a") if repeats else None
     bits = classes.select("key", *marks("bits"))
     of_centres = bits.select(F.col("key").alias("c"), *(F.col(m).alias("c_" + m) for m in (*MARKS, "ones")))
@@ -311,38 +291,39 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int, repeats: bool) ->
 
     def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = keep(pairs, "pairs")
-        verdicts = confirm(pairs, texts, named, percent)
+        links = confirm(pairs, texts, named, percent)
         forget(pairs)
-        return verdicts.where("linked").select("a", "b")
+        return links
 
     def star(met: DataFrame) -> DataFrame:
-        """Pairs of met (key, n, c, c_n) that may be alike."""
-        pairs = met.where((F.col("key") != F.col("c")) & like_sized).select("key", "n", "c", "c_n").distinct()
+        """Pairs of met (key, n, c, c_n) that may be alike. A key has as many rows as there are bands at most, so one exchange by it does."""
+        pairs = met.where((F.col("key") != F.col("c")) & like_sized).select("key", "n", "c", "c_n").repartition("key").distinct()
         near = pairs.join(bits, "key").join(of_centres, "c").where(_possible(percent))
-        return near.select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b")).distinct()
+        return near.select(F.least("c", "key").alias("a"), F.greatest("c", "key").alias("b"))
 
     spread = classes.select(F.explode("bands").alias("bucket"), "key", "n")
     firsts = spread.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("last")).where("first.key < last")
     shared = keep(spread.join(firsts.select("bucket", F.col("first.key").alias("c"), F.col("first.n").alias("c_n")), "bucket"), "buckets")
     links = linked(star(shared), docs)
-    of = components(links)
+    of = _forest(links)
     state = _unsettled(shared.select("bucket", "key", "n"), of)
     forget(shared)
     if state.isEmpty():
         return links
-    ids = state.select("key").distinct()  # from now on only these come up
-    ids = keep(ids.withColumnRenamed("key", "doc_id") if named is None else ids.join(named, "key").select("doc_id"), "ids")
-    texts = keep(_narrowed(docs, ids), "texts")
-    forget(ids)
+    ids = state.select("key")  # from now on only these come up
+    ids = ids.withColumnRenamed("key", "doc_id") if named is None else ids.distinct().join(named, "key").select("doc_id")
+    texts = keep(_narrowed(docs, ids, state.count()), "texts")
     more = linked(star(state.join(_largest(state), "bucket").where("component <> top").select("key", "n", "c", "c_n")), texts)
-    past, of = of, components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    forget(links)
+    of_edges = lambda of: of.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    past, of = of, _forest(of_edges(of).unionByName(more))
     rest = _unsettled(state.select("bucket", "key", "n"), of)
-    forget(past, state, of)
-    links = links.unionByName(more)
+    forget(past, state, more)
+    edges = of_edges(of)
     if not rest.isEmpty():
-        links = links.unionByName(linked(_met(rest, classes.select("key", "bits"), percent), texts))
+        edges = edges.unionByName(linked(_met(rest, classes.select("key", "bits"), percent), texts))
     forget(rest, texts)
-    return links
+    return edges
 
 
 def _classified(docs: DataFrame, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame, bool]:
@@ -364,7 +345,7 @@ def _classified(docs: DataFrame, percent: int, by_id: bool) -> tuple[DataFrame,
         same = usable.join(classes.select("set_a", "set_b", "n_shingles", "key"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "key").distinct()
         low = same.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id", "a")
         links = links.unionByName(same.join(low, "doc_id").where("key <> a").select("a", F.col("key").alias("b")))
-    of = components(links).withColumnRenamed("id", "key")
+    of = _forest(links).withColumnRenamed("id", "key")
     named = classes.drop("bands", "bits", "n").join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
     if repeats and by_id:
         smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
