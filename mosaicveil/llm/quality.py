@@ -1,13 +1,15 @@
 """Document quality by supervised subword embeddings.
 
-Features of a text are hashed into one table: its words (as written), its byte 3-grams and 4-grams, and one end mark, so an empty
-or null text has a feature too. A document is the mean of its features' vectors; a linear layer and softmax give the two labels'
-probabilities. Vectors and layer are learned by stochastic gradient descent in numpy, on at most TRAIN_ROWS labelled rows (those
-with the smallest xxhash64 of the id; rows whose crc32(id as text) mod 4 is 2 are held out and never learned from). Labels, lang,
-source and ids are inputs to no score. Scores of whole texts follow from one scalar a feature, a table of BUCKETS floats.
-
-Rows with a null id are scored; null labels are ignored and of repeated labels the greatest counts. With no labelled rows, or
-rows of one label only, the model is the label's smoothed share. Extra columns are ignored.
+Features of a text are hashed into one table: its words (as written), the 3-grams and 4-grams of characters of each word with a mark
+before and behind it, and one end mark, so an empty or null text has a feature too. A document is the mean of its features' vectors;
+a linear layer and softmax give the two labels' probabilities. Vectors and layer are learned by stochastic gradient descent in numpy,
+on at most TRAIN_ROWS labelled documents (those with the smallest xxhash64 of the id) of at most TRAIN_BYTES of text; rows whose
+crc32(id as text) mod 4 is 2 are held out and never learned from. Labels, lang, source and ids are inputs to no score. Scores of whole
+texts, of any length, follow from one scalar a feature, a table of BUCKETS floats.
+
+Rows with a null id are scored; null labels are ignored and of repeated labels the greatest counts; of several texts of a labelled id
+the smallest is learned from. With no labelled rows, or rows of one label only, the model is the label's smoothed share. Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,30 +22,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc
-from .textops import U64, mix, slices, word_bounds, word_hashes
+from .textops import U64, mix, slices, trim, word_bounds, word_hashes
 
-BUCKETS, DIMS, EPOCHS, RATE, TRAIN_ROWS, THRESHOLD = 1 << 17, 16, 12, 0.5, 4096, 0.7
+BUCKETS, DIMS, EPOCHS, RATE, TRAIN_ROWS, TRAIN_BYTES, THRESHOLD = 1 << 17, 16, 8, 0.5, 4096, 1 << 16, 0.7
+#: Bytes of text that a worker holds features of at a time.
+SLICE = 1 << 19
 _SEED = 20_240_601
 
 
+def characters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 characters, each as its bytes in one number, and the place of each row's first."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    out, wide, after = buf[at].astype(np.uint32), np.r_[buf, np.zeros(3, np.uint8)], np.r_[at[1:], len(buf)]
+    for k in (1, 2, 3):
+        long = np.flatnonzero(after - at > k)
+        out[long] |= wide[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out, np.searchsorted(at, offs)
+
+
 def _features(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, start of each row's) for words, 3-grams and 4-grams; a row's grams do not leave it."""
+    """(buckets, start of each row's) for words and for the 3-grams and 4-grams of their characters."""
     mask = U64(BUCKETS - 1)
     starts, ends, rows = word_bounds(buf, offs)
     yield (word_hashes(buf, starts, ends, lower=False) & mask).astype(np.int64), np.searchsorted(rows, np.arange(len(offs)))
-    wide = buf.astype(np.uint32)
+    chars, cut = characters(buf, offs)
+    # one space stands for all; one more comes before each row and after the last
+    chars, cut = np.r_[np.insert(chars, cut[:-1], np.uint32(32)), np.uint32(32)], cut + np.arange(len(cut))
+    solid = (chars != 32) & ((chars < 9) | (chars > 13))
+    codes = mix(np.where(solid, chars, np.uint32(32)).astype(U64) + U64(7))
     for n in (3, 4):
-        gram = np.zeros(max(0, len(buf) - n + 1), np.uint32)
-        for j in range(n):
-            gram |= wide[j : j + len(gram)] << np.uint32(8 * j)
+        m = max(0, len(codes) - n + 1)
         with np.errstate(over="ignore"):
-            gram = (gram * np.uint32(0x9E3779B1) + np.uint32(n * 0x5EBCA6B)) >> np.uint32(15)
-        inside = np.ones(len(gram), bool)
-        for j in range(1, n):
-            cut = offs[1:-1] - j
-            inside[cut[(cut >= 0) & (cut < len(gram))]] = False
+            total = sum((codes[j : j + m] * U64((2 * (j + 3 * n) + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for j in range(n)), np.zeros(m, U64))
+        inside = np.ones(m, bool)  # at most the first and the last are spaces: a gram stays in its word
+        for j in range(1, n - 1):
+            inside &= solid[j : j + m]
         place = np.r_[0, np.cumsum(inside)]
-        yield gram[inside].astype(np.int64), place[np.minimum(offs, len(gram))]
+        yield (mix(total[inside]) & mask).astype(np.int64), place[np.minimum(cut, m)]
 
 
 END_FEATURE = 0
@@ -52,7 +67,7 @@ END_FEATURE = 0
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each training text as its distinct buckets and their counts, BUCKETS of them at most."""
     for batch in batches:
-        for a, b, buf, offs in slices(batch.column(1), most_rows=64):
+        for a, b, buf, offs in slices(batch.column(1), SLICE, 64):
             parts = list(_features(buf, offs))
             ids, counts = [], []
             for r in range(b - a):
@@ -61,6 +76,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(np.flatnonzero(got).astype(np.int32))
                 counts.append(got[ids[-1]].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary())], ["quality", "buckets", "counts"])
+    trim()
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
@@ -87,8 +103,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, f
             back = slope @ layer
             layer -= rate * np.outer(slope, mean)
             bias -= rate * slope
-            # the step of a feature is scaled up from its share, else long texts move nothing
-            vectors[f] -= (rate * np.minimum(w * len(f), 4)[:, None] * 0.5) * back[None, :]
+            vectors[f] -= (rate * w)[:, None] * back[None, :]
     return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -106,9 +121,10 @@ def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scalars, bias = shared.value
         for batch in batches:
-            for a, b, buf, offs in slices(batch.column(1)):
+            for a, b, buf, offs in slices(batch.column(1), SLICE):
                 kept = [j for j in range(batch.num_columns) if j != 1]
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in kept), pa.array(_scores(buf, offs, scalars, bias))], [*(batch.schema.names[j] for j in kept), "score"])
+            trim()
 
     return run
 
@@ -120,10 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, most_rows:
     if held_out is not None:
         marked = marked.where(F.pmod(id_crc(), F.lit(4)) != held_out)
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("quality", F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.mapInArrow(_counts, "quality int, buckets binary, counts binary").collect()
-    rows = sorted((r["quality"], bytes(r["buckets"]), bytes(r["counts"])) for r in got)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(marked), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
+    got = rows.mapInArrow(_counts, "quality int, buckets binary, counts binary").toArrow()
+    rows = sorted(zip(got["quality"].to_pylist(), got["buckets"].to_pylist(), got["counts"].to_pylist()))
+    del got
     model = train([(y, np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for y, f, c in rows])
+    del rows
+    trim()
     return model
 
 
@@ -143,7 +163,8 @@ def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offs in slices(batch.column(place)):
+            for a, b, buf, offs in slices(batch.column(place), SLICE):
                 yield batch.slice(a, b - a).filter(pa.array(_scores(buf, offs, *shared.value) >= THRESHOLD))
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
