@@ -34,12 +34,14 @@ def test_pruned_search_is_exact_at_factor_one():
     ids = rng.permutation(3000)
     tree = vptree.Tree(ids, data)
     q = rng.normal(size=(40, 3))
-    d, who = tree.search(np.arange(-40, 0), q, 10)
+    d, who = vptree.nowhere(40, 10)
+    tree.search(np.arange(-40, 0), q, d, who)
     full = vptree.distances(q, data)
     for k in range(40):
         want = sorted(zip(full[k], ids))[:10]
         assert [(x, y) for x, y in zip(d[k], who[k])] == want
-    near, _ = tree.search(np.arange(-40, 0), q, 10, 0.5)
+    near, some = vptree.nowhere(40, 10)
+    tree.search(np.arange(-40, 0), q, near, some, 0.5)
     assert np.mean(near <= d[:, -1:]) > 0.9
 
 

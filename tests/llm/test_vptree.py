@@ -24,3 +24,13 @@ def test_repeated_rows_take_one_place(spark):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
     got = vptree.nearest(docs, F.col("vec_id") < 10, k=10).collect()
     assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got} == brute(rows, asks, 10) and len(got) == 100
+
+
+def test_many_groups_and_shards_equal_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 50)
+    monkeypatch.setattr(vptree, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(vptree, "QUERY_BYTES", 200)
+    assert sorted(tuple(r) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0).collect()) == whole and len(whole) == 300
