@@ -166,7 +166,20 @@ def fake_address(surface: Column, salt: str, v: Vocabulary = VOCABULARY) -> Colu
     return S.match_case(surface, made)
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def keyed_number(salt: str, what: str) -> int:
+    return int.from_bytes(hmac.new(salt.encode(), what.encode(), hashlib.sha256).digest()[:8], "big")
+
+
+def permuted(salt: str) -> str:
+    """What A to Z become: each letter the next one of an order that the salt fixes, so none stays."""
+    order = sorted(LETTERS, key=lambda x: keyed_number(salt, f"LETTER|{x}"))
+    after = dict(zip(order, order[1:] + order[:1]))
+    return "".join(after[x] for x in LETTERS)
+
+
 def fake_initial(c: Column, salt: str) -> Column:
     """Capital letters through one permutation of the alphabet, fixed by the salt."""
-    order = sorted("ABCDEFGHIJKLMNOPQRSTUVWXYZ", key=lambda x: hmac.new(salt.encode(), f"LETTER|{x}".encode(), hashlib.sha256).digest())
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(order))
+    return F.translate(c, LETTERS, permuted(salt))

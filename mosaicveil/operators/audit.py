@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,12 @@ def counts_by_class(spans: DataFrame) -> DataFrame:
     return rows.rollup("class", "type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_unique"))
 
 
+def class_series(spans: DataFrame) -> DataFrame:
+    """class, n, place: detections of each class, the commonest first."""
+    counted = spans.withColumn("class", class_of(F.col("type"))).groupBy("class").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "class")))  # a handful of classes
+
+
 def unique_detections(spans: DataFrame, scope: str = "doc_id") -> DataFrame:
     rows = spans.withColumn("class", class_of(F.col("type"))).withColumn("value", S.eval_norm(F.col("text"), F.col("type")))
     first = F.row_number().over(Window.partitionBy(scope, "class", "value").orderBy("start", "end"))
@@ -34,24 +43,50 @@ def score(found: DataFrame, truth: DataFrame, lenient: bool = False) -> DataFram
     A find counts as false only if it matches no truth even leniently.
     """
     f, t = found.select(F.col("id").alias("f_id"), "class", F.col("value").alias("f")), truth.select(F.col("id").alias("t_id"), "class", F.col("value").alias("t"), "detect")
-    ratio = F.least(F.length("f"), F.length("t")) / F.greatest(F.length("f"), F.length("t"))
-    loosely = (F.contains("f", F.col("t")) | F.contains("t", F.col("f"))) & (ratio >= 0.5)
-    pairs = f.join(t, "class").withColumn("exact", F.col("f") == F.col("t")).withColumn("loose", loosely)
-    shared = F.array_intersect(S.tokens(F.col("f")), S.tokens(F.col("t")))
-    pieces = pairs.where("class = 'Addresses'").withColumn("shared", shared).where(F.size("shared") >= 0.5 * F.size(S.tokens(F.col("f"))))
-    covered = pieces.groupBy("t_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("shared")))) / F.size(S.tokens(F.max("t")))).alias("c")).where("c >= 0.8").select("t_id")
-    hit = pairs.where("loose" if lenient else "exact").select("t_id").distinct()
+    exact = f.join(t, (f["class"] == t["class"]) & (F.col("f") == F.col("t"))).select("f_id", "t_id")
+    rest = f.join(exact, "f_id", "left_anti")  # only what is not found again as it is can be used loosely
+    loose = _contained(f if lenient else rest, t)
+    pieces = _pieces(f if lenient else rest, t)
+    hit = exact.select("t_id").distinct()
     if lenient:
-        hit = hit.union(covered).distinct()
+        covered = pieces.groupBy("t_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("shared")))) / F.size(S.tokens(F.max("t")))).alias("c")).where("c >= 0.8").select("t_id")
+        hit = hit.union(loose.select("t_id")).union(covered).distinct()
+    used = exact.select("f_id").union(loose.select("f_id")).union(pieces.select("f_id")).distinct()
     must = t.where("detect")
     tp = must.join(hit, "t_id", "left_semi").select("class", F.lit("tp").alias("k"))
     fn = must.join(hit, "t_id", "left_anti").select("class", F.lit("fn").alias("k"))
-    used = pairs.where("exact or loose").select("f_id").union(pieces.select("f_id")).distinct()
     fp = f.join(used, "f_id", "left_anti").select("class", F.lit("fp").alias("k"))
     n = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, 1).otherwise(0)), F.lit(0)).cast("long").alias(k)
     return rates(tp.union(fn).union(fp).rollup("class").agg(n("tp"), n("fp"), n("fn")))
 
 
+def _grams(c: Column) -> Column:
+    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: c.substr(i, F.lit(3))))).otherwise(F.array(c))
+
+
+def _contained(f: DataFrame, t: DataFrame) -> DataFrame:
+    """(f_id, t_id) where one holds the other and is at most twice as long. They meet on one trigram of the held value, which its
+    holder must have; values of one or two characters on themselves."""
+    one = lambda c: F.element_at(F.array_sort(F.transform(_grams(c), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), 1)["g"]
+    short = lambda c: F.when(F.length(c) <= 4, F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: c.substr(i, F.lit(n))) for n in (1, 2))))).otherwise(F.array().cast("array<string>"))  # noqa: E731, B023
+    every = lambda c: F.explode(F.array_distinct(F.concat(_grams(c), short(c))))
+    like = lambda a, b: F.contains(F.col(b), F.col(a)) & (F.length(a) >= 0.5 * F.length(b))
+    inner = f.withColumn("g", one(F.col("f"))).join(t.withColumn("g", every(F.col("t"))), ["class", "g"]).where(like("f", "t"))
+    outer = f.withColumn("g", every(F.col("f"))).join(t.withColumn("g", one(F.col("t"))), ["class", "g"]).where(like("t", "f"))
+    return inner.select("f_id", "t_id").union(outer.select("f_id", "t_id")).distinct()
+
+
+def _pieces(f: DataFrame, t: DataFrame) -> DataFrame:
+    """(f_id, t_id, t, shared) of addresses: finds that have half of their words in a truth. They meet on one of half a find's words."""
+    words = lambda c: F.array_sort(F.transform(S.tokens(F.col(c)), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    some = F.slice(words("f"), F.lit(1), F.floor(F.size(words("f")) / 2).cast("int") + 1)
+    a = f.where("class = 'Addresses'").withColumn("w", F.explode(F.transform(some, lambda x: x["w"])))
+    b = t.where("class = 'Addresses'").withColumn("w", F.explode(S.tokens(F.col("t"))))
+    pairs = a.join(b.drop("class"), "w").select("f_id", "t_id", "f", "t").distinct()
+    shared = F.array_intersect(S.tokens(F.col("f")), S.tokens(F.col("t")))
+    return pairs.withColumn("shared", shared).where(F.size("shared") >= 0.5 * F.size(S.tokens(F.col("f")))).select("f_id", "t_id", "t", "shared")
+
+
 def rates(counts: DataFrame) -> DataFrame:
     """precision, recall, f1 and csi from tp, fp, fn; an empty denominator gives 1, for f1 0. f1 is of the rounded rates."""
     share = lambda a, b, other: F.when(b == 0, F.lit(other)).otherwise(F.round(a / b, 4))
@@ -86,9 +121,31 @@ def partial_leaks(values: DataFrame, after: DataFrame, common: list[str], scope:
     return words.join(kept, [scope, "word"], "left_semi")
 
 
+#: Values that are looked for in one pass over the texts; what a task is sent stays under some MB.
+AT_ONCE = 10_000
+
+
+def _found(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = set(shared.value)
+        for batch in batches:
+            here = {v for t in batch.column(0).to_pylist() if t for v in left if v in t}
+            left -= here
+            if here:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(here), pa.string())], ["value"])
+
+    return run
+
+
 def lost(negatives: DataFrame, after: DataFrame) -> DataFrame:
-    """Texts that should have survived (value) and are in no row of after any more."""
-    return negatives.join(after.select("text"), F.contains(F.col("text"), F.col("value")), "left_anti")
+    """Texts that should have survived (value) and are in no row of after any more. Each pass over the texts carries AT_ONCE values."""
+    spark, values = after.sparkSession, negatives.select("value").where("value is not null").distinct()
+    parts = -(-values.count() // AT_ONCE)
+    found = values.where("false")
+    for k in range(parts):
+        own = [r.value for r in values.where(F.pmod(F.xxhash64("value"), F.lit(parts)) == k).collect()]
+        found = found.union(after.select("text").mapInArrow(_found(spark.sparkContext.broadcast(own)), "value string"))
+    return negatives.join(found.distinct(), "value", "left_anti")
 
 
 def inconsistent(mapping: DataFrame) -> DataFrame:
@@ -97,17 +154,21 @@ def inconsistent(mapping: DataFrame) -> DataFrame:
     return rows.groupBy("type", "value").agg(F.countDistinct(F.lower("pseudonym")).alias("n")).where("n > 1")
 
 
-def proposals(spans: DataFrame, texts: DataFrame, scope: str = "doc_id", most_contexts: int = 3, around: int = 60) -> DataFrame:
-    """For review: type, value, rules, occurrences, contexts of each distinct value; the contexts are its first few."""
-    rows = spans.join(texts.select(scope, F.col("text").alias("_t")), scope).withColumn("value", F.lower("text"))
-    context = F.col("_t").substr(F.greatest(F.col("start") - around, F.lit(0)) + 1, F.least(F.col("start"), F.lit(around)) + F.length("text") + around)
+def in_context(detected: DataFrame, *keys: str, text: str = "text", spans: str = "spans", around: int = 60) -> DataFrame:
+    """Rows of spans (keys, start, end, type, text, source) with the text around each, cut where it is detected."""
+    cut = lambda s: F.col(text).substr(F.greatest(s["start"] - around, F.lit(0)) + 1, F.least(s["start"], F.lit(around)) + F.length(s["text"]) + around)
+    rows = F.transform(F.col(spans), lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "type", "text", "source")), cut(s).alias("context")))
+    return detected.select(*keys, F.explode(rows).alias("_s")).select(*keys, "_s.*")
+
+
+def proposals(rows: DataFrame, scope: str = "doc_id", most_contexts: int = 3) -> DataFrame:
+    """For review, from rows of in_context: type, value, rules, occurrences, contexts of each distinct value; the contexts are its first few."""
+    rows = rows.withColumn("value", F.lower("text"))
     place = F.row_number().over(Window.partitionBy("type", "value").orderBy(scope, "start"))
-    rows = rows.withColumn("_c", context).withColumn("_n", place)
-    return rows.groupBy("type", "value").agg(
-        F.array_join(F.array_sort(F.collect_set("source")), ";").alias("rules"),
-        F.count("*").alias("occurrences"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= most_contexts, F.struct(F.col("_n"), F.col("_c"))))), lambda x: x["_c"]), " | ").alias("contexts"),
-    )
+    first = rows.select("type", "value", scope, "start", "context").withColumn("_n", place).where(F.col("_n") <= most_contexts)  # a task keeps the first few of each value
+    first = first.groupBy("type", "value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "context"))), lambda x: x["context"]), " | ").alias("contexts"))
+    counted = rows.groupBy("type", "value").agg(F.array_join(F.array_sort(F.collect_set("source")), ";").alias("rules"), F.count("*").alias("occurrences"))
+    return counted.join(first, ["type", "value"])
 
 
 def ground_truth(review: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from ..vocab import VOCABULARY, Vocabulary
 from .names import strip_honorific
 
 ID_TYPES = tuple(t for t, (_, alnum) in ENTITY.items() if alnum)
+SHORTEST_ID = 6
 
 
 def register_rank(kind: Column) -> Column:
@@ -35,13 +36,23 @@ def ordered_detections(spans: DataFrame, scope: str = "doc_id") -> DataFrame:
     return spans.withColumn("ord", F.row_number().over(Window.partitionBy(scope).orderBy(register_rank(F.col("type")), words.desc(), "start", "end")))
 
 
-def values(spans: DataFrame, scope: str = "doc_id") -> DataFrame:
-    """(scope, type, value, ord): normalised, an address of several lines in pieces of six characters and more."""
+def values(spans: DataFrame, scope: str = "doc_id", v: Vocabulary = VOCABULARY) -> DataFrame:
+    """(scope, type, value, ord): normalised, an address of several lines in pieces of six characters and more, identifiers of
+    SHORTEST_ID characters and more. Hosts of mail and pages are values of their own, but for mail providers'."""
     flat = F.trim(F.regexp_replace("text", "[  \t]+", " "))
     rows = ordered_detections(spans, scope).withColumn("value", flat)
     pieces = F.when((F.col("type") == "ADDRESS") & F.contains("value", F.lit("\n")), F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 6)).otherwise(F.array(F.regexp_replace("value", "\n", " ")))
     rows = rows.withColumn("value", F.explode(pieces)).where(F.length("value") >= 2)
-    return rows.groupBy(scope, "type", "value").agg(F.min("ord").alias("ord"))
+    bare = F.length(F.regexp_replace("value", r"[^\p{L}\p{N}]", ""))
+    rows = rows.where(~F.col("type").isin(*ID_TYPES) | (bare >= SHORTEST_ID)).select(scope, "type", "value", "ord")
+    hosts = rows.where("type in ('EMAIL', 'URL')").select(scope, F.lit("DOMAIN").alias("type"), host_in(F.col("value")).alias("value"), "ord")
+    hosts = hosts.where(F.col("value").contains(".") & ~F.col("value").isin(*sorted(v.mail_providers)))
+    return rows.unionByName(hosts).groupBy(scope, "type", "value").agg(F.min("ord").alias("ord"))
+
+
+def host_in(value: Column) -> Column:
+    """Host of an address of mail or of a page, in lower case and without www."""
+    return F.regexp_replace(F.lower(F.regexp_extract(F.regexp_replace(value, r"^(?:(?i:https?)://|[^@/]*@)", ""), r"^[^/?#:]*", 0)), r"^www\.", "")
 
 
 def person_tokens(people: DataFrame, scope: str = "doc_id", v: Vocabulary = VOCABULARY) -> DataFrame:
@@ -55,27 +66,35 @@ def person_tokens(people: DataFrame, scope: str = "doc_id", v: Vocabulary = VOCA
     return rows.withColumn("role", role).withColumn("_n", first).where("_n = 1").select(scope, "token", "role")
 
 
+def _generic(word: Column, v: Vocabulary) -> Column:
+    return F.lower(word).isin(*sorted(v.generic_org)) | F.regexp_replace(F.lower(word), "^[(.,]+|[).,]+$", "").isin(*sorted(v.generic_org))
+
+
 def org_groups(value: Column, v: Vocabulary = VOCABULARY) -> Column:
     """Runs of distinctive words of an organisation's name; its first word if there is none."""
     words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
-    generic = lambda w: F.lower(w).isin(*sorted(v.generic_org)) | F.regexp_replace(F.lower(w), "^[(.,]+|[).,]+$", "").isin(*sorted(v.generic_org))
-    marked = F.array_join(F.transform(words, lambda w: F.when(generic(w), "\x01").otherwise(w)), " ")
+    marked = F.array_join(F.transform(words, lambda w: F.when(_generic(w, v), "\x01").otherwise(w)), " ")
     runs = F.filter(F.transform(F.split(marked, "\x01"), lambda r: F.trim(r)), lambda r: r != "")
     return F.when(F.size(runs) > 0, runs).otherwise(F.slice(words, 1, 1))
 
 
 def deal(tokens: DataFrame, scope: str, pools: dict[str, tuple[str, ...]], salt: str) -> DataFrame:
     """Adds fake: no two tokens of a scope and role share one, and none is the token itself in another case."""
-    rank = F.row_number().over(Window.partitionBy(scope, "role").orderBy(fakes.hmac_hex(F.concat("role", F.lit("|"), "token"), salt), "token")) - 1
-    rows = tokens.withColumn("_rank", rank)
+    seed = fakes.hmac_hex(F.concat("role", F.lit("|"), "token"), salt)
+    rows = tokens.withColumn("_hash", seed).withColumn("_rank", F.row_number().over(Window.partitionBy(scope, "role").orderBy("_hash", "token")) - 1)
     fake = F
     for role, pool in pools.items():
-        start = int.from_bytes(f"{salt}|{role}".encode(), "big") % len(pool)
+        if not pool:  # an acronym of as many letters
+            made = F.concat(*(fakes.letters(F.col("_hash"), k, 1) for k in range(3))).substr(F.lit(1), F.length("token"))
+            other = F.when(F.lower(made) == F.col("token"), F.translate(made, fakes.LETTERS, fakes.permuted(salt))).otherwise(made)
+            fake = fake.when(F.col("role") == role, other)
+            continue
+        start = fakes.keyed_number(salt, f"POOL|{role}") % len(pool)
         turned = pool[start:] + pool[:start]
         name = F.element_at(F.array(*map(F.lit, turned)), (F.col("_rank") % len(pool) + 1).cast("int"))
         made = F.concat(name, F.when(F.col("_rank") >= len(pool), F.floor(F.col("_rank") / len(pool)).cast("string")).otherwise(""))
         fake = fake.when((F.col("role") == role) & (F.lower(made) == F.col("token")), F.concat(made, F.lit("a"))).when(F.col("role") == role, made)
-    return rows.withColumn("fake", fake).drop("_rank")
+    return rows.withColumn("fake", fake).drop("_rank", "_hash")
 
 
 def _like(source: str, made: str) -> str:
@@ -85,9 +104,10 @@ def _like(source: str, made: str) -> str:
     return made.lower() if letters and all(c.islower() for c in letters) else made
 
 
-def person(value: str, names: dict[str, str]) -> str:
-    """Word by word; what is no dealt token (titles, punctuation, initials) stays."""
-    return re.sub(r"[^\W\d_][\w'’\-]+", lambda m: _like(m[0], names[m[0].lower()]) if m[0].lower() in names else m[0], value)
+def person(value: str, names: dict[str, str], initials: dict[str, str] | None = None) -> str:
+    """Word by word; initials follow the salt's permutation, what is no dealt token (titles, punctuation) stays."""
+    told = re.sub(r"(?<![\w'’])[A-Z](?![\w'’])", lambda m: (initials or {}).get(m[0], m[0]), value)
+    return re.sub(r"[^\W\d_][\w'’\-]+", lambda m: _like(m[0], names[m[0].lower()]) if m[0].lower() in names else m[0], told)
 
 
 def org(value: str, brands: dict[str, str]) -> str:
@@ -101,11 +121,14 @@ def domain(host: str, brands: dict[str, str], seed: str, v: Vocabulary = VOCABUL
     """A mail provider becomes example.com; an organisation's domain follows its brand."""
     if host in v.mail_providers:
         return "example.com"
-    label = host.split(".")[0]
+    parts = host.split(".")
+    if len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in v.second_level:
+        parts.pop()
+    label = parts[-2] if len(parts) > 1 else parts[0]
     for group in sorted(brands, key=len, reverse=True):
         key = re.sub(r"\W", "", group)
         if len(key) >= 3 and key in label:
-            return label.replace(key, brands[group].lower()) + ".example.com"
+            return label.replace(key, re.sub(r"\W", "", brands[group]).lower()) + ".example.com"
     return v.fake_brands[int(seed[:8], 16) % len(v.fake_brands)].lower() + ".example.com"
 
 
@@ -141,47 +164,62 @@ def mailbox(local: str, names: dict[str, str], brands: dict[str, str], seed: str
 _TOKENS = "array<struct<token:string,fake:string>>"
 
 
-@F.pandas_udf(T.StringType())
-def _named(kind: pd.Series, value: pd.Series, names: pd.Series, brands: pd.Series, seed: pd.Series) -> pd.Series:
-    """Pseudonyms that follow the scope's names and brands."""
+def _namer(salt: str):
+    """Pseudonyms that follow the scope's names and brands, as a function of (kind, value, names, brands, seed)."""
+    initials = dict(zip(fakes.LETTERS, fakes.permuted(salt)))
 
     def one(k, x, n, b, s):
         if x is None:
             return None
         n, b = ({p["token"]: p["fake"] for p in t} for t in (n, b))
         if k == "PERSON":
-            return person(x, n)
+            return person(x, n, initials)
         if k == "ORG":
             return org(x, b)
         if k == "EMAIL":
             local, _, host = x.partition("@")
-            return mailbox(local, n, b, s) + "@" + domain(host.lower(), b, s)
+            return mailbox(local, n, b, s[64:]) + "@" + domain(host.lower(), b, s)
         scheme, host, rest = re.fullmatch(r"((?:https?://)?(?:www\.)?)([^/?#:]*)(.*)", x, re.I | re.S).groups()
         return scheme + domain(host.lower(), b, s) + rest
 
-    return pd.Series([one(*row) for row in zip(kind, value, names, brands, seed)], dtype=object)
+    @F.pandas_udf(T.StringType())
+    def named(kind: pd.Series, value: pd.Series, names: pd.Series, brands: pd.Series, seed: pd.Series) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(kind, value, names, brands, seed)], dtype=object)
+
+    return named
+
+
+NAMED_TYPES = ("PERSON", "ORG", "EMAIL", "URL", "DOMAIN")
 
 
 def build(spans: DataFrame, salt: str, scope: str = "doc_id", v: Vocabulary = VOCABULARY) -> DataFrame:
-    """The mapping of each scope: (scope, type, original, pseudonym, ord). A scope's names and brands are held by one task at a time."""
-    vals = values(spans, scope)
+    """The mapping of each scope: (scope, type, original, pseudonym, ord, part). A scope's names and brands are held by one task at a
+    time. part: a short form of an organisation's name, which counts only where it is capitalised."""
+    vals = values(spans, scope, v)
     names = deal(person_tokens(vals, scope, v), scope, {"given": v.fake_given, "surname": v.fake_surnames}, salt)
-    groups = vals.where("type = 'ORG'").select(scope, F.explode(org_groups(F.col("value"), v)).alias("g")).select(scope, F.lower("g").alias("token"), F.lit("brand").alias("role")).distinct()
-    brands = deal(groups, scope, {"brand": v.fake_brands}, salt)
+    shorts = vals.where("type = 'ORG'").select(scope, "ord", F.col("value").alias("whole"), F.explode(org_groups(F.col("value"), v)).alias("g"))
+    role = F.when(F.max(F.when(F.col("g").rlike("^[A-Z]{2,3}$"), 1).otherwise(0)) == 1, "acronym").otherwise("brand")
+    groups = shorts.groupBy(scope, F.lower("g").alias("token")).agg(role.alias("role"))
+    brands = deal(groups, scope, {"brand": v.fake_brands, "acronym": ()}, salt)
     pairs = lambda df, name: df.groupBy(scope).agg(F.collect_list(F.struct("token", "fake")).alias(name))
     rows = vals.join(pairs(names, "_names"), scope, "left").join(pairs(brands, "_brands"), scope, "left")
     none = F.array().cast(_TOKENS)
     value, kind, key = F.col("value"), F.col("type"), S.alnum_key(F.col("value"))
     # seeds are columns, so that each is hashed once a row
-    rows = rows.withColumns({"_key": key, "_seed": fakes.hmac_hex(F.concat(kind, F.lit("|"), S.norm(value)), salt), "_id": fakes.key_seed(kind, key, salt), "_pan": fakes.key_seed("PAN", key.substr(3, 10), salt)})
+    rows = rows.withColumns({"_key": key, "_seed": fakes.hmac_hex(F.when(kind.isin("EMAIL", "URL", "DOMAIN"), F.concat(F.lit("DOMAIN|"), host_in(value))).otherwise(F.concat(kind, F.lit("|"), S.norm(value))), salt), "_own": fakes.hmac_hex(F.concat(kind, F.lit("|"), S.norm(value)), salt), "_id": fakes.key_seed(kind, key, salt), "_pan": fakes.key_seed("PAN", key.substr(3, 10), salt)})
     rows = rows.withColumn("_names", F.coalesce("_names", none)).withColumn("_brands", F.coalesce("_brands", none))
     ids = F
     for t in ID_TYPES:
         ids = ids.when(kind == t, fakes.fake_key(t, F.col("_key"), salt, F.col("_id"), F.col("_pan")))
     shaped = F.when(kind == "DOB", fakes.fake_date(value, salt)).when(kind == "IP_ADDRESS", fakes.fake_ip(value, salt)).when(kind == "ADDRESS", fakes.fake_address(value, salt, v))
-    rows = rows.withColumn("_made", ids).withColumn("_named", _named(kind, F.when(kind.isin("PERSON", "ORG", "EMAIL", "URL"), value), "_names", "_brands", "_seed"))
-    made = F.when(kind.isin(*ID_TYPES), fakes.put_back(value, F.col("_made"))).when(kind.isin("PERSON", "ORG", "EMAIL", "URL"), F.col("_named")).otherwise(shaped)
-    return rows.select(scope, "type", value.alias("original"), made.alias("pseudonym"), "ord")
+    rows = rows.withColumn("_made", ids).withColumn("_named", _namer(salt)(kind, F.when(kind.isin(*NAMED_TYPES), value), "_names", "_brands", F.concat("_seed", "_own")))
+    made = F.when(kind.isin(*ID_TYPES), fakes.put_back(value, F.col("_made"))).when(kind.isin(*NAMED_TYPES), F.col("_named")).otherwise(shaped)
+    whole = rows.select(scope, "type", value.alias("original"), made.alias("pseudonym"), "ord", F.lit(False).alias("part"))
+    # the distinctive runs of an organisation's name stand for it where nothing generic is left of them
+    told = shorts.where((F.col("g") != F.col("whole")) & (F.length("g") >= 3) & F.col("g").rlike("^[A-Z]") & ~_generic(F.col("g"), v))
+    told = told.groupBy(scope, F.lower("g").alias("token")).agg(F.min("g").alias("original"), F.min("ord").alias("ord")).join(brands.select(scope, "token", "fake"), [scope, "token"])
+    parts = told.select(scope, F.lit("ORG").alias("type"), "original", F.col("fake").alias("pseudonym"), "ord", F.lit(True).alias("part"))
+    return whole.unionByName(parts)
 
 
 # --- rewriting -----------------------------------------------------------------------------------------------------------------
@@ -193,15 +231,20 @@ def surface_pattern(kind: str, surface: str) -> str:
         core = r"[ \-. ()]{0,2}".join(map(re.escape, re.sub(r"[\W_]", "", surface)))
         return (r"\+?" if kind == "PHONE" else "") + rf"(?<![A-Za-z0-9]){core}(?![A-Za-z0-9])"
     core = r"\s+".join(map(re.escape, surface.split()))
+    if kind == "DOMAIN":  # not within a longer host, nor behind an @
+        return rf"(?:(?<![\w.@\-])|(?<=www\.)){core}(?![\w\-]|\.\w)"
     return (r"(?<!\w)" if surface[:1].isalnum() else "") + core + (r"(?!\w)" if surface[-1:].isalnum() else "")
 
 
 class Matcher:
     """One alternation of a scope's surfaces, longest first, and what each becomes."""
 
-    def __init__(self, mapping: list[tuple[str, str, str]]):
+    def __init__(self, mapping: list[tuple[str, str, str, bool]]):
         found: dict[str, tuple[str, str, bool]] = {}
-        for kind, original, fake in mapping:
+        for kind, original, fake, part in mapping:
+            if part:  # a short form
+                found.setdefault(original, (kind, fake, True))
+                continue
             if kind == "PERSON":  # parts of a name, only where they are capitalised
                 old, new = original.split(), fake.split()
                 if len(old) == len(new):
@@ -240,17 +283,25 @@ class Matcher:
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))
 def _rewritten(text: pd.Series, mapping: pd.Series) -> pd.DataFrame:
-    done = [(t, 0) if t is None or m is None or not len(m) else Matcher([(p["type"], p["original"], p["pseudonym"]) for p in m]).replace(t) for t, m in zip(text, mapping)]
+    done = [(t, 0) if t is None or m is None or not len(m) else Matcher([(p["type"], p["original"], p["pseudonym"], p["part"]) for p in m]).replace(t) for t, m in zip(text, mapping)]
     return pd.DataFrame(done, columns=["text", "n"])
 
 
 def rewrite(texts: DataFrame, mapping: DataFrame, scope: str = "doc_id") -> DataFrame:
-    """texts with every occurrence of its scope's originals replaced, and n_replaced; texts of other scopes pass unread."""
-    whole = mapping.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("ord", "type", "original", "pseudonym"))).alias("_map"))
+    """texts with every occurrence of its scope's originals replaced, and n_replaced (which replaces a column of that name); texts of
+    other scopes pass unread. All other columns stay as they are, whatever their names."""
+    a, b = free_names(texts, 2)
+    whole = mapping.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("ord", "type", "original", "pseudonym", "part"))).alias(a))
     rows = texts.join(whole, scope, "left")
-    rows = rows.withColumn("_r", _rewritten(F.when(F.col("_map").isNotNull(), F.col("text")), "_map"))
-    text, n = F.when(F.col("_map").isNotNull(), F.col("_r.text")).otherwise(F.col("text")), F.coalesce(F.col("_r.n"), F.lit(0))
-    return rows.withColumn("text", text).withColumn("n_replaced", n).drop("_map", "_r")
+    rows = rows.withColumn(b, _rewritten(F.when(F.col(a).isNotNull(), F.col("text")), a))
+    text, n = F.when(F.col(a).isNotNull(), F.col(f"{b}.text")).otherwise(F.col("text")), F.coalesce(F.col(f"{b}.n"), F.lit(0))
+    return rows.withColumn("text", text).withColumn("n_replaced", n).drop(a, b)
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_{k}" for k in range(len(taken) + n)) if c not in taken][:n]
 
 
 def project(segments: list[tuple[int, str]], spans: list[tuple[int, int, str]]) -> list[tuple[int, str]]:

@@ -46,11 +46,14 @@ def greedy(spans: Column) -> Column:
     return F.array_sort(kept)
 
 
-def detect(df: DataFrame, text: str = "text", config: Config = Config(), extra: tuple[Callable[[Column], Column], ...] = (), out: str = "spans", resolve: bool = True) -> DataFrame:
-    """Adds the spans of each row's text. extra: functions from the text column to a span array, such as names.free_text_spans."""
-    raw = F.concat(all_pattern_spans(F.col(text), config), *(f(F.col(text)) for f in extra))
-    found = df.withColumn("_raw", F.coalesce(raw, F.array().cast(SPANS)))
-    found = found.withColumn(out, admissible(F.col("_raw"), config)).drop("_raw")
+def detect(df: DataFrame, text: str = "text", config: Config = Config(), extra: tuple[Callable[[Column], Column], ...] = (), out: str = "spans", resolve: bool = True, id_context: Column | bool = False) -> DataFrame:
+    """Adds the spans of each row's text as column out, which replaces one of that name; other columns stay, whatever their names.
+
+    extra: functions from the text column to a span array, such as names.free_text_spans. id_context: a column or a value that tells
+    whether the text comes from an identity document, where dates of birth need no cue."""
+    raw = F.concat(all_pattern_spans(F.col(text), config, id_context=id_context), *(f(F.col(text)) for f in extra))
+    found = df.withColumn(out, F.coalesce(raw, F.array().cast(SPANS)))
+    found = found.withColumn(out, admissible(F.col(out), config))
     return found.withColumn(out, greedy(F.col(out))) if resolve else found
 
 

@@ -12,7 +12,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.parsers import expat
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,8 @@ W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _NO_TEXT = ("styles", "settings", "fontTable", "webSettings", "numbering", "theme")
 _TEXT = ("wordprocessingml", "core-properties", "extended-properties", "custom-properties", "drawingml.chart", "diagramData")
 ATTRIBUTES = ("author", "initials", "userId", "providerId", "lastModifiedBy")
+SHOWN_ATTRIBUTES = ("descr", "title", "instr")
+NAMED_ELEMENTS = ("docPr", "cNvPr")
 _DROPPED = ("del", "moveFrom")
 
 
@@ -274,6 +276,18 @@ def rewrite_package(content: bytes, replace, redact: str = "Redacted") -> tuple[
                             changes[k] = text
                     raw = part.spliced(changes)
                     raw = re.sub(rb'(\bw(?:\d+)?:(?:' + "|".join(ATTRIBUTES).encode() + rb')=)"[^"]*"', rb'\1"' + redact.encode() + b'"', raw)
+
+                    def attribute(m):
+                        nonlocal total
+                        text = unescape(m[2].decode(), {"&quot;": '"'})
+                        spans = replace(text)
+                        total += len(spans)
+                        for s, e, new in reversed(spans):
+                            text = text[:s] + new + text[e:]
+                        return m[1] + (escape(text, {'"': "&quot;"}).encode() if spans else m[2]) + m[3]
+
+                    raw = re.sub(rb'(\s(?:\w+:)?(?:' + "|".join(SHOWN_ATTRIBUTES).encode() + rb')=")([^"]*)(")', attribute, raw)
+                    raw = re.sub(rb"(<(?:\w+:)?(?:" + "|".join(NAMED_ELEMENTS).encode() + rb')\b[^>]*?\sname=")([^"]*)(")', attribute, raw)
                     raw = re.sub(rb"(<(?:dc:creator|cp:lastModifiedBy)>)[^<]*", rb"\1" + redact.encode(), raw)
                     raw = re.sub(rb"(<(?:Company|Manager)>)[^<]*", rb"\1", raw)
             elif info.filename.endswith(".rels"):
@@ -292,34 +306,59 @@ def rewrite_package(content: bytes, replace, redact: str = "Redacted") -> tuple[
 
 
 def rewrite(packages: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(doc_id, content, n_replaced): each package rewritten with its own dictionary (doc_id, ord, type, original, pseudonym)."""
+    """(doc_id, content, n_replaced): each package rewritten with its own dictionary (doc_id, ord, type, original, pseudonym, part)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..operators.dictionary import Matcher
 
         for frame in frames:
             for doc, content, table in zip(frame["doc_id"], frame["content"], frame["_map"]):
-                matcher = Matcher([(p["type"], p["original"], p["pseudonym"]) for p in (table if table is not None else [])])
+                matcher = Matcher([(p["type"], p["original"], p["pseudonym"], p["part"]) for p in (table if table is not None else [])])
                 new, n = rewrite_package(bytes(content), matcher.spans)
                 yield pd.DataFrame([(doc, new, n)], columns=["doc_id", "content", "n_replaced"])
 
-    whole = mapping.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "original", "pseudonym"))).alias("_map"))
+    whole = mapping.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "original", "pseudonym", "part"))).alias("_map"))
     return packages.select("doc_id", "content").join(whole, "doc_id", "left").mapInPandas(run, "doc_id string, content binary, n_replaced long")
 
 
 def save(packages: DataFrame, folder: str) -> None:
-    """One file a package, written by the tasks that hold it, through Hadoop's file systems when the folder is not local."""
+    """One file a package, written by the tasks that hold it. The folder must be local to all of them or mounted by all (a shared
+    file system); for a store that only Spark reaches use save_table. Packages of one name get their path's crc32 before it."""
 
     def write(rows) -> None:
         import os
 
         os.makedirs(folder, exist_ok=True)
         for r in rows:
-            with open(os.path.join(folder, os.path.basename(r["doc_id"])), "wb") as f:
+            with open(os.path.join(folder, r["_name"]), "wb") as f:
                 f.write(r["content"])
 
     if "://" in folder and not folder.startswith("file://"):
-        packages.write.mode("overwrite").parquet(folder)
-        return
+        raise ValueError("save writes through the file system; use save_table for other stores")
     folder = folder.removeprefix("file://")
-    packages.select("doc_id", "content").foreachPartition(write)
+    name = F.element_at(F.split("doc_id", "/"), -1)
+    several = packages.groupBy(name.alias("_base")).agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = packages.select("doc_id", "content", name.alias("_base")).join(several, "_base", "left")
+    told = F.when(F.col("_n").isNull(), F.col("_base")).otherwise(F.concat(F.hex(F.crc32(F.col("doc_id").cast("binary"))), F.lit("-"), "_base"))
+    rows.select("content", told.alias("_name")).foreachPartition(write)
+
+
+def save_table(packages: DataFrame, path: str) -> None:
+    """doc_id and content as Parquet, wherever Spark writes."""
+    packages.select("doc_id", "content").write.mode("overwrite").parquet(path)
+
+
+def _harvest_rows(content: bytes):
+    """Whatever a reader of the package might see: texts, attributes of over three characters, links."""
+    for name, part in _parts(content):
+        yield from ((name, "text", t) for t in part.paragraph_texts() if t.strip())
+        yield from ((name, "text", t) for _, _, t, par, _ in part.texts if par is None and t.strip())
+        found: list[str] = []
+        p = expat.ParserCreate()
+        p.StartElementHandler = lambda n, a: found.extend(v for k, v in a.items() if len(v) > 3 and not k.startswith("xmlns"))
+        p.Parse(part.xml, True)
+        yield from ((name, "attribute", v) for v in found)
+    yield from ((name, "link", target) for name, _, target in _link_rows(content))
+
+
+harvest = _rows(_harvest_rows, "doc_id string, part string, kind string, text string")

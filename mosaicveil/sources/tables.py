@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def mapping_rows(mapping: DataFrame) -> DataFrame:
+    """type, original, pseudonym: each original once, sorted."""
+    return mapping.groupBy("type", "original").agg(F.min("pseudonym").alias("pseudonym")).orderBy("type", "original")
+
+
 def write_mapping(mapping: DataFrame, path: str) -> None:
     """Sorted JSON lines of type, original and pseudonym. It undoes the pseudonyms: keep it apart from the texts."""
-    mapping.select("type", "original", "pseudonym").dropDuplicates(["type", "original"]).orderBy("type", "original").write.mode("overwrite").json(path)
+    mapping_rows(mapping).write.mode("overwrite").json(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dictionary
+from ..operators.names import free_text_spans
 from ..operators.resolve import detect, span_rows
 from ..types import Config
 
@@ -15,7 +16,7 @@ def redact_stream(spark: SparkSession, source: str, schema: str, out: str, check
     pseudonyms follow from the salt and the document, so a batch that is run again writes the same rows to its own folder."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spans = span_rows(detect(df.select("doc_id", "text"), config=config), "doc_id")
+        spans = span_rows(detect(df.select("doc_id", "text"), config=config, extra=(free_text_spans(),)), "doc_id")
         mapping = dictionary.build(spans, config.salt)
         dictionary.rewrite(df, mapping).write.mode("overwrite").parquet(f"{out}/batch={number}")
 

@@ -89,6 +89,8 @@ class Vocabulary:
     )
     common_names: frozenset[str] = _set("will mark grace hope rose bill frank june april august summer dawn jack joy may art dean lily miles rich rob star victor")
     mail_providers: frozenset[str] = _set("gmail.com yahoo.com outlook.com hotmail.com icloud.com protonmail.com aol.com live.com")
+    #: Labels that stand before a country's domain.
+    second_level: frozenset[str] = _set("co com org net ac edu gov gen firm ind nic res or ne go")
     role_mailboxes: frozenset[str] = _set("info contact support admin sales hr legal office mail careers enquiries help compliance investors grievance cs ir")
     fake_given: tuple[str, ...] = tuple("Ada Ben Cora Dan Edith Finn Gina Hal Ines Joel Kara Liam Mona Ned Opal Perry Quinn Ruth Sam Tess Una Vic Wade Xena Yuri Zora Abel Beth Cleo Drew".split())
     fake_surnames: tuple[str, ...] = tuple("Alder Birch Cedar Dale Elm Fern Grove Heath Ivers Jarrow Kelp Linden Marsh Nettle Oakes Pine Quarry Reed Sedge Thorn Upton Vale Willow Yarrow Ashby Brook Cliff Downs Ember Field".split())
