@@ -3,14 +3,17 @@
 Items of five words and more are indexed by word: a posting's impact is its BM25 weight, divided by what the item must at least
 score, so every item's threshold is 1. That least score loses nothing: a passage with 0.75 of an item's five-word shingles lacks at
 most a quarter of them, so as many words at most, and the threshold leaves out the impacts of just the heaviest so many words.
-Items lie in blocks; each term has its greatest impact in each block. Every training passage (a window of twice the longest item's
-words, moving by the longest item's words, so every occurrence lies whole in a window) queries the index: blocks whose maxima do
-not add up to 1 are passed over, the items of the others are scored, and those that reach 1 are verified: at least 0.75 of the
-item's five-word shingles occur in the passage, and half of those of its question (all words but the answer's) and of its
-answer (its last quarter, five words at least).
-
-The index is broadcast in groups of about GROUP_BYTES of item text, each of at most MOST_BLOCKS blocks, so its maxima have a bound too. Null and empty texts are never contaminated; repeated ids
-are judged row by row, items with a null id or under five words are left out; an empty benchmark leaves every row clean.
+Items lie in blocks; each term has its greatest impact in each block where it occurs, and its greatest of all. Every training passage (a
+window of three times the longest item's words, moving by the longest item's words, so an occurrence lies whole in a window, also one
+with as many foreign words put in as the longest item has) queries the index. Passages for which no block's maxima add up to 1 go at
+once, for many passages together; the others traverse the postings: cursors in order of items, a pivot where the terms' maxima reach 1,
+the pivot's block passed over if its own maxima don't, an item scored only when all cursors before the pivot have come up to it. Items
+that reach 1 are verified: at least 0.75 of the item's five-word shingles occur in the passage, and half of those of its question (all
+words but the answer's) and of its answer (its last quarter, five words at least).
+
+The index is broadcast in groups of about GROUP_BYTES of item text; all it holds is in proportion to that. Null and empty texts are
+never contaminated; repeated ids are judged row by row, items with a null id or under five words are left out; an empty benchmark
+leaves every row clean.
 """
 
 from __future__ import annotations
@@ -23,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import _STEP, U64, mix, slices, word_bounds, word_hashes
+from .textops import _STEP, U64, mix, slices, trim, word_bounds, word_hashes
 
 K1, B, BLOCK, MOST_BLOCKS, SHARE, PART, GROUP_BYTES = 1.2, 0.75, 8, 256, 0.75, 0.5, 4 << 20
+#: Passages that are bounded at a time; what sums of floats may be short of.
+STEP, SLACK = 4096, 1e-6
+#: Length of a passage, in words of the longest item.
+WINDOW = 3
 
 
 def _words(text: str) -> np.ndarray:
@@ -52,7 +59,10 @@ class Index:
     items: np.ndarray  # postings by term, then item
     impacts: np.ndarray
     block: int  # items of a block
-    maxima: np.ndarray  # terms x blocks
+    top: np.ndarray  # each term's greatest impact
+    b_first: np.ndarray  # of each term's blocks
+    blocks: np.ndarray  # blocks where the term occurs, ascending
+    maxima: np.ndarray  # the term's greatest impact there
     whole: list[np.ndarray]  # distinct shingles of each item
     question: list[np.ndarray]
     answer: list[np.ndarray]
@@ -80,38 +90,65 @@ class Index:
         order = np.lexsort((item, at))
         at, item, impact = at[order], item[order], impact[order]
         block = max(BLOCK, -(-len(docs) // MOST_BLOCKS))
-        maxima = np.zeros((len(terms), -(-len(docs) // block)), np.float32)
-        np.maximum.at(maxima, (at, item // block), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
+        place = at * (1 << 32) + item // block
+        new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        maxima, own = np.maximum.reduceat(impact, new), at[new]
+        b_first = np.searchsorted(own, np.arange(len(terms) + 1))
+        top = np.maximum.reduceat(maxima, b_first[:-1])
         cut = [max(5, -(-len(w) // 4)) for _, w in docs]
         question = [np.unique(_grams(w[: len(w) - c])) for (_, w), c in zip(docs, cut)]
         answer = [np.unique(_grams(w[len(w) - c :])) for (_, w), c in zip(docs, cut)]
-        return Index(np.array([i for i, _ in docs], np.int64), terms, np.searchsorted(at, np.arange(len(terms) + 1)), item, impact, block, maxima, whole, question, answer, max(len(w) for _, w in docs))
+        return Index(np.array([i for i, _ in docs], np.int64), terms, np.searchsorted(at, np.arange(len(terms) + 1)), item, impact, block, top, b_first, item[new] // block, maxima, whole, question, answer, max(len(w) for _, w in docs))
 
     def candidates(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item) that reach the threshold, from the distinct (passage, term) pairs in order of passage."""
-        if not len(term):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        here, first = np.unique(passage, return_index=True)
-        got_p, got_b = [], []
-        for b in range(0, self.maxima.shape[1], 32):
-            bound = np.add.reduceat(self.maxima[term, b : b + 32], first, axis=0)
-            p, block = np.nonzero(bound >= 1 - 1e-4)
-            got_p.append(p)
-            got_b.append(block + b)
-        p, block = np.concatenate(got_p), np.concatenate(got_b)
-        out_p, out_i = [], []
-        stop = np.r_[first[1:], len(term)]
-        for q in np.unique(p).tolist():
-            t = term[first[q] : stop[q]]
-            spans = self.first[t], self.first[t + 1]
-            places = np.concatenate([np.arange(x, y) for x, y in zip(*spans)])
-            wanted = np.isin(self.items[places] // self.block, block[p == q])
-            total = np.bincount(self.items[places[wanted]], self.impacts[places[wanted]], len(self.ids))
-            hits = np.flatnonzero(total >= 1)
-            out_p += [here[q]] * len(hits)
-            out_i += hits.tolist()
+        """(passage, item) that reach the threshold, from the distinct (passage, term) pairs in order of passage, of n passages."""
+        out_p, out_i, n_blocks = [], [], -(-len(self.ids) // self.block)
+        for low in range(0, n, STEP):  # a bounded table of passages and blocks at a time
+            x, y = np.searchsorted(passage, (low, low + STEP))
+            t, size = term[x:y], self.b_first[term[x:y] + 1] - self.b_first[term[x:y]]
+            flat = np.repeat(self.b_first[t] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            cell = np.repeat(passage[x:y] - low, size) * n_blocks + self.blocks[flat]
+            bound = np.bincount(cell, self.maxima[flat], min(STEP, n - low) * n_blocks).reshape(-1, n_blocks)
+            for q in (np.flatnonzero(bound.max(1) >= 1 - SLACK) + low).tolist():
+                a, b = x + np.searchsorted(passage[x:y], (q, q + 1))
+                hits = self.traversed(term[a:b])
+                out_p += [q] * len(hits)
+                out_i += hits
         return np.array(out_p, np.int64), np.array(out_i, np.int64)
 
+    def traversed(self, terms: np.ndarray) -> list[int]:
+        """Items of which a passage's distinct terms add up to 1, by block-max WAND."""
+        at, stop, done = self.first[terms].copy(), self.first[terms + 1], len(self.ids)
+        now = self.items[at]  # where each cursor stands; done at its end
+        hits: list[int] = []
+
+        def advance(which: np.ndarray, to: int) -> None:
+            for k in which.tolist():
+                at[k] += np.searchsorted(self.items[at[k] : stop[k]], to)
+                now[k] = self.items[at[k]] if at[k] < stop[k] else done
+
+        while True:
+            order = np.argsort(now, kind="stable")
+            reach = np.searchsorted(np.cumsum(self.top[terms[order]]), 1 - SLACK)
+            if reach == len(order) or now[order[reach]] == done:
+                return hits
+            pivot = int(now[order[reach]])
+            upto = order[: np.searchsorted(now[order], pivot, "right")]  # all cursors up to the pivot
+            block, bound = pivot // self.block, 0.0
+            for k in terms[upto].tolist():
+                x, y = self.b_first[k], self.b_first[k + 1]
+                j = x + np.searchsorted(self.blocks[x:y], block)
+                bound += self.maxima[j] if j < y and self.blocks[j] == block else 0.0
+            if bound < 1 - SLACK:  # on to the next block, or to the next cursor's item if that comes first
+                after = now[order[len(upto)]] if len(upto) < len(order) else done
+                advance(upto, min((block + 1) * self.block, int(after)))
+            elif now[order[0]] == pivot:
+                if self.impacts[at[upto]].sum() >= 1 - SLACK:
+                    hits.append(pivot)
+                advance(upto, pivot + 1)
+            else:
+                advance(upto[now[upto] < pivot], pivot)
+
     def verified(self, grams: np.ndarray, item: int) -> float:
         """Share of the item's shingles in the passage; 0 if question or answer is missing."""
         has = lambda x: 1.0 if not len(x) else float(np.isin(x, grams).mean())
@@ -134,15 +171,15 @@ def _search(index: Index, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray
     at = np.flatnonzero(known)
     chunk = (at - begin[rows[at]]) // step
     one = base[rows[at]] + chunk
-    again = chunk > 0
-    key = np.unique(np.r_[one, one[again] - 1] * (1 << 32) + np.r_[term[at], term[at][again]])
+    back = [chunk >= j for j in range(WINDOW)]  # a word lies in so many windows
+    key = np.unique(np.concatenate([(one[b] - j) * (1 << 32) + term[at][b] for j, b in enumerate(back)]))
     p, item = index.candidates(key >> 32, key & ((1 << 32) - 1), int(chunks.sum()))
     found: list[dict[int, float]] = [{} for _ in range(n)]
     of = np.searchsorted(base + chunks, p, "right")
     for q in np.unique(p).tolist():
         r = int(of[p == q][0])
         x = begin[r] + (q - base[r]) * step
-        grams = _grams(words[x : min(x + 2 * step, begin[r] + count[r])])
+        grams = _grams(words[x : min(x + WINDOW * step, begin[r] + count[r])])
         for i in item[p == q].tolist():
             share = index.verified(grams, i)
             if share:
@@ -153,12 +190,13 @@ def _search(index: Index, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray
 def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offs in slices(batch.column(1)):
+            for a, b, buf, offs in slices(batch.column(1), 1 << 20):
                 chunks, found = _search(shared.value, buf, offs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(chunks.astype(np.int64)), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found], pa.float64()), batch.column(2).slice(a, b - a)],
                     ["doc_id", "n_passages", "item_ids", "overlap", "digest"],
                 )
+        trim()
 
     return run
 
@@ -208,7 +246,8 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _keeper(shared, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offs in slices(batch.column(place)):
+            for a, b, buf, offs in slices(batch.column(place), 1 << 20):
                 yield batch.slice(a, b - a).filter(pa.array([not f for f in _search(shared.value, buf, offs)[1]], pa.bool_()))
+        trim()
 
     return run

@@ -58,7 +58,7 @@ def test_leaks_equal_brute_force(spark, sf):
     want = {}
     for r in docs.collect():
         w = words(r.text)
-        spans = [grams(w[k : k + 2 * index.span]) for k in range(0, max(1, len(w)), index.span)]
+        spans = [grams(w[k : k + decontaminate.WINDOW * index.span]) for k in range(0, max(1, len(w)), index.span)]
         want[r.doc_id] = sorted(
             i for i, x in items
             if any(
@@ -69,3 +69,35 @@ def test_leaks_equal_brute_force(spark, sf):
         )
     got = {r.doc_id: list(r.item_ids) for r in decontaminate.leaks(docs, bench).collect()}
     assert got == want and sum(map(bool, want.values())) > 5
+
+
+def test_traversal_finds_what_scoring_all_items_finds():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(5, 40)))) for i in range(200)]
+    index = decontaminate.Index.build(items)
+    found = 0
+    for k in range(150):
+        base = items[int(rng.integers(200))][1].split()
+        words = set(base[: int(rng.integers(len(base)) + 1)]) | set(rng.choice(vocabulary, 40))
+        hashes = np.unique(decontaminate._words(" ".join(sorted(words))))
+        terms = np.searchsorted(index.terms, hashes)
+        terms = terms[(terms < len(index.terms)) & (index.terms[np.minimum(terms, len(index.terms) - 1)] == hashes)]
+        total = np.zeros(200)
+        for t in terms:
+            total[index.items[index.first[t] : index.first[t + 1]]] += index.impacts[index.first[t] : index.first[t + 1]]
+        want = np.flatnonzero(total >= 1).tolist()
+        assert index.traversed(terms) == want
+        assert index.candidates(np.zeros(len(terms), np.int64), terms, 1)[1].tolist() == want
+        found += len(want)
+    assert found > 30  # not an empty comparison
+
+
+def test_copy_with_foreign_words_in_it_is_a_leak(spark):
+    item = " ".join(f"q{k}" for k in range(59))
+    words = item.split()
+    docs = spark.createDataFrame([(k, " ".join([f"a{j}" for j in range(k)] + words[:44] + [f"x{j}" for j in range(40)] + words[44:] + ["z"] * 90)) for k in (0, 20, 38, 58)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert all(r.contaminated for r in decontaminate.leaks(docs, bench).collect())
