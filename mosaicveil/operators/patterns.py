@@ -75,11 +75,16 @@ def no_spans() -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """(start, text) of every match, starts counted in code points from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    start = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.when(i > 0, F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))).otherwise(0)
-    return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), m.alias("text")))
+    """(start, text) of every match, starts counted in code points from 0: one fold over matches and the gaps before them."""
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("gap"))
+    kind = "array<struct<start:int,text:string>>"
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["gap"])
+        more = F.concat(a["out"], F.array(F.struct(start.alias("start"), x["m"].alias("text")))).cast(kind)
+        return F.when(x["m"].isNull(), a).otherwise(F.struct(more.alias("out"), (start + F.length(x["m"])).alias("at")))
+
+    return F.aggregate(both, F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at")), step, lambda a: a["out"])
 
 
 def before(text: Column, start: Column, window: int) -> Column:

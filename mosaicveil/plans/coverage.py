@@ -322,10 +322,10 @@ def portraits_from_layout(spark, sf_dir):
     return ocr.portrait_from_layout(ocr.lines(_card(spark, sf_dir)), images)
 
 
-@query(f"SELECT CAST({_K} AS STRING) AS image, 55 AS x0, 62 AS y0, 198 AS x1, 258 AS y1 FROM customer")
+@query(f"SELECT CAST({_K} AS STRING) AS image, 50 AS x0, 62 AS y0, 198 AS x1, 258 AS y1 FROM customer")
 def portraits_from_faces(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col(_K).cast("string").alias("image"))
-    faces = c.select("image", F.lit(100).alias("x0"), F.lit(100).alias("y0"), F.lit(200 - 0).alias("x1"), F.lit(200).alias("y1")).withColumn("x1", F.lit(180)).withColumn("x0", F.lit(91))
+    faces = c.select("image", F.lit(91).alias("x0"), F.lit(100).alias("y0"), F.lit(180).alias("x1"), F.lit(200).alias("y1"))
     words = c.select("image", F.explode(F.array(F.struct(F.lit(200).alias("left"), F.lit(120).alias("top")), F.struct(F.lit(110).alias("left"), F.lit(260).alias("top")), F.struct(F.lit(110).alias("left"), F.lit(50).alias("top")))).alias("w")).select("image", "w.*", F.lit(20).alias("width"), F.lit(10).alias("height"))
     return ocr.portrait_from_face(faces, words, c.withColumn("width", F.lit(400)).withColumn("height", F.lit(400)))
 

@@ -20,6 +20,15 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def write_metrics(metrics: DataFrame, path: str) -> str:
+    """Rates by class (audit.score) as JSON; returns them as a Markdown table, the row of all classes last."""
+    metrics.write.mode("overwrite").json(path)
+    rows = sorted(metrics.collect(), key=lambda r: (r["class"] is None, r["class"] or ""))
+    names = ["class", "tp", "fp", "fn", "precision", "recall", "f1", "csi"]
+    lines = ["| " + " | ".join(names) + " |", "|" + "-|" * len(names)]
+    return "\n".join(lines + ["| " + " | ".join("all" if r[n] is None else str(r[n]) for n in names) + " |" for r in rows])
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entities, negatives) of one JSON document."""
     doc = spark.read.schema("entities array<struct<value:string,type:string,where:array<string>,detect:boolean,note:string>>, negatives array<string>").option("multiLine", True).json(path)

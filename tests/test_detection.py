@@ -107,6 +107,33 @@ def test_family_keeps_its_surname_and_mail_follows(spark):
     assert other["Rahul Mehta"] != made["Rahul Mehta"]
 
 
+def test_short_names_hosts_and_initials_go_too(spark):
+    text = "Acme Wire Industries Private Limited (www.acmewire.co.in, info@acmewire.co.in) and Mr. K. R. Mehta. Acme Wire says so; see acmewire.co.in, K. R. Mehta."
+    done = redact_texts(spark.createDataFrame([(1, text, 7, 8)], "doc_id long, text string, _map int, _raw int"), Config(salt="s"))
+    row = done.texts.first()
+    assert (row._map, row._raw) == (7, 8)
+    for gone in ("Acme", "acmewire", "K. R.", "Mehta"):
+        assert gone not in row.text, row.text
+    assert "Industries Private Limited" in row.text and ".example.com" in row.text and "www." in row.text
+
+
+def test_statistical_finder_may_be_missing(spark):
+    def absent():
+        raise ImportError
+
+    def present():
+        return lambda texts: [[(t.index("Zed"), t.index("Zed") + 3, "PERSON"), (0, 1, "ORG")] if "Zed" in t else [] for t in texts]
+
+    df = spark.createDataFrame([(1, "by Zed now"), (2, None)], "doc_id long, text string")
+    rows = span_rows(detect(df, extra=(names.statistical(present), names.statistical(absent))), "doc_id").collect()
+    assert [(r.doc_id, r.type, r.text, r.source) for r in rows] == [(1, "PERSON", "Zed", "statistical")]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "PAN ABCPK1234L", "a", "b")], "doc_id long, text string, _raw string, _s string")
+    assert detect(df).columns == ["doc_id", "text", "_raw", "_s", "spans"]
+
+
 def test_rewritten_texts_leak_nothing(spark):
     df = spark.createDataFrame([(1, "PAN ABCPK1234L. Again ABC PK 1234 L, mail x.y@firm.example.org, +91 98765 43210 / 98765-43210."), (2, "nothing here"), (3, None)], "doc_id long, text string")
     done = redact_texts(df, Config(salt="s"), names=False)
