@@ -5,7 +5,9 @@ other characters than letters and digits turned into one space, the ends trimmed
 join, among the digests of known licence texts made in the same way. Whole documents are looked up; so is each line of a document
 that mentions a licence, for notices such as "Released under the MIT License."
 
-The table of known texts is this module's, so the side that is broadcast has a fixed size (KNOWN). Null and empty texts have the
+The table of known texts is a parameter. The default, KNOWN, is of fixed size and is broadcast; it holds MIT, ISC, 0BSD, BSD-2-Clause,
+BSD-3-Clause and Zlib in full and, of the longer licences, headers and notices of one line only. A table of the caller's own
+(license_id, text) may be of any size and is joined as Spark sees fit. Null and empty texts have the
 digest of the empty form and match nothing; repeated ids are judged row by row; extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -97,17 +99,26 @@ def known_digests() -> list[tuple[str, str]]:
     return sorted({(hashlib.sha256(canonical(t).encode()).hexdigest(), i) for i, t in KNOWN if canonical(t)})
 
 
-def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license_id (of the whole text, else null), notices (distinct licences of lines, sorted, else empty)."""
-    known = spark.createDataFrame(known_digests(), "known string, license_id string")
+#: Lines that may be notices; what has none of these words is not looked up line by line.
+GATE = "(?i)licen[cs]|released|reserved|mozilla"
+
+
+def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None, gate: str = GATE) -> DataFrame:
+    """doc_id, digest, license_id (of the whole text, else null; of several the smallest), notices (distinct licences of lines, sorted, else
+    empty). known: (license_id, text) in place of KNOWN; gate: a pattern of the lines that are looked up, empty for every line."""
+    if known is None:
+        known = F.broadcast(spark.createDataFrame(known_digests(), "known string, license_id string"))
+    else:
+        own = known.select(F.sha2(canonical_column(F.col("text")), 256).alias("known"), "license_id", canonical_column(F.col("text")).alias("form"))
+        known = own.where("form <> ''").groupBy("known").agg(F.min("license_id").alias("license_id"))
     rows = docs.select("doc_id", "text").withColumn("digest", F.sha2(canonical_column(F.col("text")), 256))
-    rows = rows.withColumn("lines", F.expr(r"filter(split(text, '\n'), x -> rlike(x, '(?i)licen[cs]|released|reserved|mozilla'))"))
-    rows = rows.join(F.broadcast(known), F.col("digest") == F.col("known"), "left").drop("known", "text")
+    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(gate)))
+    rows = rows.join(known, F.col("digest") == F.col("known"), "left").drop("known", "text")
     # few rows have such lines; only those go through the second lookup
     plain = rows.where("lines is null or size(lines) = 0").select("doc_id", "digest", "license_id", F.lit("").alias("notices"))
     told = rows.where("size(lines) > 0").withColumn("row", F.monotonically_increasing_id())
     lines = told.select("row", "doc_id", "digest", "license_id", F.explode("lines").alias("line")).withColumn("line", F.sha2(canonical_column(F.col("line")), 256))
-    lines = lines.join(F.broadcast(known.withColumnRenamed("license_id", "notice")), F.col("line") == F.col("known"), "left")
+    lines = lines.join(known.withColumnRenamed("license_id", "notice"), F.col("line") == F.col("known"), "left")
     lines = lines.groupBy("row", "doc_id", "digest", "license_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("notice"))).alias("notices"))
     return plain.unionByName(lines.drop("row"))
 
