@@ -34,6 +34,8 @@ from .common import partitions
 from .textops import _BYTE, U64, mix, slices, trim
 
 LENGTH, GRAM, SHARD, SPREAD, CHUNK, SEND = 100, 32, 3 << 19, 2, 1 << 13, 1 << 19
+#: Bytes of text for each task at most, on average.
+BUCKET = 32 << 20
 _STEPS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD)]
 _SENT = "bucket long, kind int, fp binary, doc binary, seq binary, at binary, data binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
@@ -497,8 +499,6 @@ def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
-    shards = partitions(docs.sparkSession)
-    n = SPREAD * shards
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     first = F.lit(-(1 << 63)).cast("long")
     if rows.groupBy("doc_id").count().where("count > 1 or doc_id = -9223372036854775808").limit(1).count():
@@ -507,6 +507,10 @@ def remove_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     else:
         rows = rows.withColumn("seq", F.lit(1))
     rows = rows.select("doc_id", F.coalesce("doc_id", first).alias("doc"), "seq", "text")
+    # what a task holds follows from the bytes of text, whatever number of partitions the session has
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(partitions(docs.sparkSession), -(-size // BUCKET))
+    n = SPREAD * shards
     told = rows.select("doc", "seq", "text").mapInArrow(_send_anchors(shards), _SENT)
     found = told.repartition(shards, "bucket").mapInArrow(_match_anchors(n), _SENT)
     # the same bucket as _of_doc, so that texts and packed arrays meet
