@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, keep, partitions
+from .common import id_crc, keep, partitions, release
 from .textops import U64, mix, slices, trim, word_bounds, word_hashes
 
 DEPTH, FREQUENT = 5, 1 << 19
-SPLIT, SLICE = 3, 8 << 20
+SPLIT, SLICE = 3, 5 << 20
 #: Shards for each shuffle partition; a task holds one shard at a time.
 SHARDS = 4
 _START, _STOP = 0xFE, 0xFF  # bytes that UTF-8 does not use
@@ -411,7 +411,7 @@ def _packer(most: int):
     return run
 
 
-def _runs(offs: bytes, text: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _runs(offs, text) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of a slice's runs of about a MB."""
     offs, buf = np.frombuffer(offs, np.int64), np.frombuffer(text, np.uint8)
     at = 0
@@ -421,6 +421,19 @@ def _runs(offs: bytes, text: bytes) -> Iterator[tuple[int, int, np.ndarray, np.n
         at = end
 
 
+def _all_grams(offs, text, held: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a slice, in one array from the start; with held, shifted to make room for the fold in the lowest bit."""
+    rows = len(np.frombuffer(offs, np.int64)) - 1
+    out, at = np.empty(len(text) + rows, U64), 0
+    for a, b, buf, cut in _runs(offs, text):
+        keys = grams(buf, cut)[0]
+        if held is not None:
+            keys = keys << U64(1) | np.repeat(~held[a:b].astype(bool), np.diff(cut) + 1).astype(U64)
+        out[at : at + len(keys)] = keys
+        at += len(keys)
+    return out
+
+
 def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The shards of sorted keys, ascending, and the order of the keys that goes with them."""
     shard = (mix((keys >> U64(8)) & _mask(SPLIT)) % U64(shards)).astype(np.int32)
@@ -435,11 +448,8 @@ def _asker(shards: int):
         for batch in batches:
             for k in range(len(batch)):
                 number, held = batch.column(0)[k].as_py(), batch.column(2)[k].values.to_numpy(zero_copy_only=False)
-                parts = []  # keys with the fold in the lowest bit, as plain sorting is far faster than sorting places
-                for a, b, buf, offs in _runs(batch.column(3)[k].as_py(), batch.column(4)[k].as_py()):
-                    parts.append(grams(buf, offs)[0] << U64(1) | np.repeat(~held[a:b].astype(bool), np.diff(offs) + 1).astype(U64))
-                keys, n = _distinct(np.concatenate(parts))
-                del parts
+                # keys with the fold in the lowest bit, as plain sorting is far faster than sorting places
+                keys, n = _distinct(_all_grams(batch.column(3)[k].as_buffer(), batch.column(4)[k].as_buffer(), held))
                 trained, keys = np.where(keys & U64(1), n, 0), keys >> U64(1)
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 keys, n = keys[first], np.add.reduceat(trained, first)
@@ -508,8 +518,8 @@ def _scorer(shared, n_tokens: int, n_distinct: int, floor: int, shards: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         frequent = shared.value
         absent = np.log10(0.1 / (n_tokens + 0.1 * (n_distinct + 1)))
-        raw, offsets = texts["text"][0].as_py(), texts["offs"][0].as_py()
-        known_keys, _ = _distinct(np.concatenate([grams(buf, offs)[0] for _, _, buf, offs in _runs(offsets, raw)]))
+        raw, offsets = texts["text"][0].as_buffer(), texts["offs"][0].as_buffer()
+        known_keys, _ = _distinct(_all_grams(offsets, raw))
         told = sorted(zip(answers["shard"].to_pylist(), answers["bits"].to_pylist()))
         known_bits = np.empty(len(known_keys))
         known_bits[_dealt(known_keys, shards)[1]] = np.concatenate([np.frombuffer(b, np.float32) for _, b in told])
@@ -607,6 +617,7 @@ def answers(packed: DataFrame, shards: int) -> DataFrame:
     asked = keep(packed.mapInArrow(_asker(shards), "shard int, slice long, keys binary, n binary"), "asked")
     trees = asked.select("shard", "keys", "n").repartition(n, "shard").sortWithinPartitions("shard")
     trees = keep(trees.mapInArrow(_grow, "shard int, keys binary, n binary, node array<long>, z array<double>, o array<double>, w array<double>"), "trees")
+    release(spark)  # what was shuffled to make the trees is of no more use
     sums = trees.select(F.inline(F.arrays_zip("node", "z", "o", "w"))).groupBy("node").agg(*(F.sum(c).alias(c) for c in "zow")).orderBy("node").toArrow()
     shared = spark.sparkContext.broadcast(top_of(sums["node"].to_numpy().astype(np.int64).view(U64), *(sums[c].to_numpy() for c in "zow")))
     both = trees.select("shard", F.lit(-1).cast("long").alias("slice"), "keys", "n").unionByName(asked.withColumn("n", F.lit(None).cast("binary")))
