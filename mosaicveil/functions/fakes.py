@@ -133,6 +133,7 @@ def date_shift(surface: Column, salt: str) -> Column:
 def fake_date(surface: Column, salt: str) -> Column:
     """A moved date in the layout, separators, padding, ordinal and case of the original; impossible dates lose their figures."""
     days = date_shift(surface, salt)
+    # fixed values: the layouts of dates
     num = r"^(\d{1,2})([/.-])(\d{1,2})[/.-](\d{4}|\d{2})$"
     one = lambda p, k: F.regexp_extract(surface, p, k)
     y = one(num, 4)

@@ -227,7 +227,7 @@ def build(spans: DataFrame, salt: str, scope: str = "doc_id", v: Vocabulary = VO
 
 def surface_pattern(kind: str, surface: str) -> str:
     """Where a surface is found: identifiers with up to two separators between characters, others at word edges, spaces loosely."""
-    if kind in ID_TYPES:
+    if kind in ID_TYPES:  # fixed value: the separators that may stand between an identifier's characters
         core = r"[ \-. ()]{0,2}".join(map(re.escape, re.sub(r"[\W_]", "", surface)))
         return (r"\+?" if kind == "PHONE" else "") + rf"(?<![A-Za-z0-9]){core}(?![A-Za-z0-9])"
     core = r"\s+".join(map(re.escape, surface.split()))

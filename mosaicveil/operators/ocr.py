@@ -19,7 +19,10 @@ ID_WORDS = ("income tax", "permanent account", "govt", "government of india", "a
 _BOILERPLATE = sorted({w for phrase in ID_WORDS for w in phrase.split() if w.isascii()} | set("authority birth blood card country date department expiry gender given group identity india issue issued mother name nationality no number of place republic sex signature state surname the to union valid year".split()))
 _RELATIVE = r"[sdwc]\s*/\s*o"
 _LABEL = rf"(?i)\b(?:(?:(?:father|mother|husband|spouse|guardian)'?s?\s*)?name|{_RELATIVE})\b\s*[:\-.]?\s*"
+#: What opens an address block, a relative's name at its head, a PIN code; lines of a card beside its photograph.
 _ADDRESS = r"(?i)\baddress\b\s*[:\-.]?\s*"
+_WHOSE = rf"(?i)^{_RELATIVE}\s*[:.]?\s*([A-Za-z][A-Za-z.'\-]*(?:\s+[A-Za-z][A-Za-z.'\-]*){{0,3}})\s*,[ ,]*"
+_BESIDE = r"\b(father|mother|husband|dob|date\s+of\s+birth|year\s+of\s+birth|male|female)\b"
 _PIN = r"(?<!\d)[1-9]\d{2}\s?\d{3}(?!\d)"
 MIN_SIDE = 120
 
@@ -68,9 +71,8 @@ def id_hits(ocr_lines: DataFrame) -> DataFrame:
     cut = F.when(F.col("line_no") == F.col("from"), F.length(F.regexp_extract("text", rf"^(?s:.*?){_ADDRESS}", 0))).otherwise(0)
     block = block.withColumn("cut", cut).withColumn("seg", F.regexp_replace(F.col("text").substr(F.col("cut") + 1, F.length("text")), "^ +| +$", ""))
     block = block.withColumn("start", F.col("cut") + F.length(F.regexp_extract(F.col("text").substr(F.col("cut") + 1, F.length("text")), "^ *", 0))).where("seg <> ''")
-    whose = rf"(?i)^{_RELATIVE}\s*[:.]?\s*([A-Za-z][A-Za-z.'\-]*(?:\s+[A-Za-z][A-Za-z.'\-]*){{0,3}})\s*,[ ,]*"
-    related = F.when(F.col("line_no") == F.col("from"), F.regexp_extract("seg", whose, 0)).otherwise("")
-    block = block.withColumn("lead", related).withColumn("who", F.regexp_extract("seg", whose, 1)).withColumn("who_at", F.col("start") + F.instr("lead", F.col("who")) - 1)
+    related = F.when(F.col("line_no") == F.col("from"), F.regexp_extract("seg", _WHOSE, 0)).otherwise("")
+    block = block.withColumn("lead", related).withColumn("who", F.regexp_extract("seg", _WHOSE, 1)).withColumn("who_at", F.col("start") + F.instr("lead", F.col("who")) - 1)
     relation = block.where("lead <> ''").select("image", "line_no", F.col("who_at").alias("start"), (F.col("who_at") + F.length("who")).alias("end"), F.lit("PERSON").alias("type"), F.col("who").alias("text"), F.lit("id_relation").alias("source"))
     block = block.withColumn("start", F.col("start") + F.length("lead")).withColumn("seg", F.col("seg").substr(F.length("lead") + 1, F.length("seg"))).where("seg <> ''")
     address = block.select("image", "line_no", "start", (F.col("start") + F.length("seg")).alias("end"), F.lit("ADDRESS").alias("type"), F.col("seg").alias("text"), F.lit("id_address_block").alias("source"))
@@ -145,7 +147,7 @@ def portrait_from_layout(ocr_lines: DataFrame, images: DataFrame) -> DataFrame:
     first = lambda pattern, after=None: F.get(F.filter("lines", lambda x: x["low"].rlike(pattern) & (F.lit(True) if after is None else x["line_no"] >= after)), 0)
     rows = rows.withColumn("tax", first(r"income\s*tax")).withColumn("title", first(r"permanent\s+account")).withColumn("name", first(r"\bname\b", F.col("title.line_no")))
     card = F.struct(F.greatest(F.lit(0), F.col("name.x0") - 8).alias("x0"), (F.col("tax.y1") + 4).alias("y0"), (F.col("title.x0") - 6).alias("x1"), (F.col("name.y0") - 4).alias("y1"), F.lit("pan_layout").alias("source"))
-    data = F.filter("lines", lambda x: x["low"].rlike(r"\b(father|mother|husband|dob|date\s+of\s+birth|year\s+of\s+birth|male|female)\b"))
+    data = F.filter("lines", lambda x: x["low"].rlike(_BESIDE))
     rows = rows.withColumn("data", data).withColumn("from", F.get("data", 0)["line_no"]).withColumn("to", F.element_at(F.when(F.size("data") > 0, F.col("data")), -1)["line_no"])
     above = F.get(F.filter("lines", lambda x: x["line_no"] == F.col("from") - 1), 0)
     rows = rows.withColumn("from", F.when(name_like(above["text"]), F.col("from") - 1).otherwise(F.col("from")))
