@@ -1,7 +1,9 @@
 """From documents to packed sequences: quality, near duplicates, benchmark leaks, secrets, packing.
 
 Each stage reads what the one before it wrote, a Parquet table with the columns of documents; the last returns pieces. Rows with a
-null id pass the near-duplicate stage as they are, null texts count as empty, and an empty table goes through empty.
+null id pass the near-duplicate stage as they are, null texts count as empty, and an empty table goes through empty. Rows that repeat
+(same id and text) leave the near-duplicate stage once; rows of one id with different texts are different documents there. Extra columns
+go through up to packing, whatever their names.
 """
 
 from __future__ import annotations
