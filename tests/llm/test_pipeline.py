@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline as P
 from mosaicveil.llm import decontaminate, secrets
 
@@ -101,3 +103,40 @@ def test_copy_with_foreign_words_in_it_is_a_leak(spark):
     docs = spark.createDataFrame([(k, " ".join([f"a{j}" for j in range(k)] + words[:44] + [f"x{j}" for j in range(40)] + words[44:] + ["z"] * 90)) for k in (0, 20, 38, 58)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert all(r.contaminated for r in decontaminate.leaks(docs, bench).collect())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, quality int, _place int"
+
+
+def odd(spark):
+    long = " ".join(f"w{k % 97}" for k in range(30_000))
+    rows = [(1, "plain words of a text", "en", "s", 21, 1, 0), (1, "plain words of a text", "en", "s", 21, 1, 0), (2, None, None, None, None, None, None), (None, "no id here at all", "en", "s", 17, 1, 0), (3, "", "en", "s", 0, 0, 0), (4, long, "en", "s", len(long), 1, 0)]
+    return spark.createDataFrame(rows, ODD)
+
+
+def test_filtering_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, empty and long texts, extra columns of clashing names, empty tables: rows come out as they went in, or not at all."""
+    from mosaicveil.llm import quality
+
+    docs = odd(spark)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "something quite different from all the other texts"), (None, "plain words of a text"), (2, None)], "item_id long, text string")
+    given = Counter(map(tuple, docs.collect()))
+    for kept in (quality.accept(docs, labels), decontaminate.clean(docs, bench), decontaminate.clean(docs, bench.where("false"))):
+        assert kept.columns == docs.columns
+        assert not Counter(map(tuple, kept.collect())) - given
+    assert Counter(map(tuple, decontaminate.clean(docs, bench).collect())) == given
+    gone = decontaminate.clean(docs, spark.createDataFrame([(1, "plain words of a text")], "item_id long, text string"))
+    assert sorted((r.doc_id or 0) for r in gone.collect()) == [0, 2, 3, 4]
+    none = docs.where("false")
+    assert quality.accept(none, labels).count() == decontaminate.clean(none, bench).count() == 0
+    assert quality.accept(docs, labels.where("false")).columns == docs.columns
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    docs = odd(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (4, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item of five words or more")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {1, 2, 3, 4, None} and sum(r.doc_id == 1 and r.start == 0 for r in got) <= 1
