@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, keep, partitions, release
+from .common import forget, id_crc, keep, partitions, release
 from .textops import U64, mix, slices, trim, word_bounds, word_hashes
 
 DEPTH, FREQUENT = 5, 1 << 19
-SPLIT, SLICE = 3, 5 << 20
+SPLIT, SLICE = 3, 6 << 20
 #: Shards for each shuffle partition; a task holds one shard at a time.
 SHARDS = 4
 _START, _STOP = 0xFE, 0xFF  # bytes that UTF-8 does not use
@@ -621,7 +621,10 @@ def answers(packed: DataFrame, shards: int) -> DataFrame:
     sums = trees.select(F.inline(F.arrays_zip("node", "z", "o", "w"))).groupBy("node").agg(*(F.sum(c).alias(c) for c in "zow")).orderBy("node").toArrow()
     shared = spark.sparkContext.broadcast(top_of(sums["node"].to_numpy().astype(np.int64).view(U64), *(sums[c].to_numpy() for c in "zow")))
     both = trees.select("shard", F.lit(-1).cast("long").alias("slice"), "keys", "n").unionByName(asked.withColumn("n", F.lit(None).cast("binary")))
-    return both.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_answerer(shared), "slice long, shard int, bits binary")
+    told = keep(both.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_answerer(shared), "slice long, shard int, bits binary"), "answers")
+    forget(asked, trees)
+    release(spark)
+    return told
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT, slice_bytes: int = SLICE) -> DataFrame:
@@ -641,9 +644,12 @@ def score(docs: DataFrame, frequent: int = FREQUENT, slice_bytes: int = SLICE) -
     shared = docs.sparkSession.sparkContext.broadcast(table)
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
     shards = SHARDS * partitions(docs.sparkSession)
-    scored = packed.groupBy("slice").cogroup(answers(packed, shards).groupBy("slice")).applyInArrow(_scorer(shared, n, v, floor, shards), kinds)
+    told = answers(packed, shards)
+    scored = packed.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_scorer(shared, n, v, floor, shards), kinds)
     if floor > 1:
         scored = keep(scored, "scores")
+        forget(packed, told)
+        release(docs.sparkSession)
         rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
         rare = rare.join(counts.where(F.col("n") < floor), "key", "left")
         more = rare.groupBy("row").agg(
