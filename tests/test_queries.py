@@ -45,7 +45,7 @@ def test_queries_without_sql_against_finders(spark, sf):
         by.setdefault(r.doc_id, []).append((r.start, r.end))
     assert all(a[1] <= b[0] for own in by.values() for a, b in zip(sorted(own), sorted(own)[1:]))
     counted = {r["type"]: r.n for r in QUERIES["entity_counts_rollup"](spark, sf).collect() if r["type"]}
-    assert counted == dict(Counter(r.type for r in spans)) and len(spans) > 100
+    assert counted == dict(Counter(r.type for r in spans)) and len(spans) > 50
     done = {r.doc_id: r for r in QUERIES["redact_documents"](spark, sf).collect()}
     assert done.keys() == texts.keys()
     assert all((done[k].n_replaced == 0) == (done[k].text == t) for k, t in texts.items())
