@@ -7,8 +7,8 @@ Items lie in blocks; each term has its greatest impact in each block where it oc
 window of three times the longest item's words, moving by the longest item's words, so an occurrence lies whole in a window, also one
 with as many foreign words put in as the longest item has) queries the index. Passages for which no block's maxima add up to 1 go at
 once, for many passages together; the others traverse the postings: cursors in order of items, a pivot where the terms' maxima reach 1,
-the pivot's block passed over if its own maxima don't, an item scored only when all cursors before the pivot have come up to it. Items
-that reach 1 are verified: at least 0.75 of the item's five-word shingles occur in the passage, and half of those of its question (all
+the pivot's block and those after it passed over up to the next one whose maxima do, the pivot scored once all cursors have come up to
+it. Items that reach 1 are verified: at least 0.75 of the item's five-word shingles occur in the passage, and half of those of its question (all
 words but the answer's) and of its answer (its last quarter, five words at least).
 
 The index is broadcast in groups of about GROUP_BYTES of item text; all it holds is in proportion to that. Null and empty texts are
@@ -57,6 +57,7 @@ class Index:
     terms: np.ndarray  # sorted word hashes
     first: np.ndarray  # of each term's postings
     items: np.ndarray  # postings by term, then item
+    places: np.ndarray  # the same as numbers: term in the upper 32 bits, item in the lower
     impacts: np.ndarray
     block: int  # items of a block
     top: np.ndarray  # each term's greatest impact
@@ -98,7 +99,7 @@ class Index:
         cut = [max(5, -(-len(w) // 4)) for _, w in docs]
         question = [np.unique(_grams(w[: len(w) - c])) for (_, w), c in zip(docs, cut)]
         answer = [np.unique(_grams(w[len(w) - c :])) for (_, w), c in zip(docs, cut)]
-        return Index(np.array([i for i, _ in docs], np.int64), terms, np.searchsorted(at, np.arange(len(terms) + 1)), item, impact, block, top, b_first, item[new] // block, maxima, whole, question, answer, max(len(w) for _, w in docs))
+        return Index(np.array([i for i, _ in docs], np.int64), terms, np.searchsorted(at, np.arange(len(terms) + 1)), item, at.astype(np.int64) << 32 | item, impact, block, top, b_first, item[new] // block, maxima, whole, question, answer, max(len(w) for _, w in docs))
 
     def candidates(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(passage, item) that reach the threshold, from the distinct (passage, term) pairs in order of passage, of n passages."""
@@ -111,43 +112,42 @@ class Index:
             bound = np.bincount(cell, self.maxima[flat], min(STEP, n - low) * n_blocks).reshape(-1, n_blocks)
             for q in (np.flatnonzero(bound.max(1) >= 1 - SLACK) + low).tolist():
                 a, b = x + np.searchsorted(passage[x:y], (q, q + 1))
-                hits = self.traversed(term[a:b])
+                hits = self.traversed(term[a:b], bound[q - low])
                 out_p += [q] * len(hits)
                 out_i += hits
         return np.array(out_p, np.int64), np.array(out_i, np.int64)
 
-    def traversed(self, terms: np.ndarray) -> list[int]:
-        """Items of which a passage's distinct terms add up to 1, by block-max WAND."""
-        at, stop, done = self.first[terms].copy(), self.first[terms + 1], len(self.ids)
-        now = self.items[at]  # where each cursor stands; done at its end
-        hits: list[int] = []
+    def traversed(self, terms: np.ndarray, bound: np.ndarray) -> list[int]:
+        """Items of which a passage's distinct terms add up to 1, by block-max WAND; bound: what the terms' maxima add up to in each block."""
+        open_, done, hits = np.flatnonzero(bound >= 1 - SLACK), len(self.ids), []
+        stop, top, base = self.first[terms + 1], self.top[terms], terms.astype(np.int64) << 32
 
-        def advance(which: np.ndarray, to: int) -> None:
-            for k in which.tolist():
-                at[k] += np.searchsorted(self.items[at[k] : stop[k]], to)
-                now[k] = self.items[at[k]] if at[k] < stop[k] else done
+        def moved(to: int) -> tuple[np.ndarray, np.ndarray]:
+            """All cursors at that item or the first one after it; where each then stands."""
+            at = np.searchsorted(self.places, base + to)
+            return at, np.where(at < stop, self.items[np.minimum(at, len(self.items) - 1)], done)
 
-        while True:
+        to = int(open_[0]) * self.block if len(open_) else done
+        while to < done:
+            at, now = moved(to)
             order = np.argsort(now, kind="stable")
-            reach = np.searchsorted(np.cumsum(self.top[terms[order]]), 1 - SLACK)
+            reach = int(np.searchsorted(np.cumsum(top[order]), 1 - SLACK))
             if reach == len(order) or now[order[reach]] == done:
-                return hits
-            pivot = int(now[order[reach]])
-            upto = order[: np.searchsorted(now[order], pivot, "right")]  # all cursors up to the pivot
-            block, bound = pivot // self.block, 0.0
-            for k in terms[upto].tolist():
-                x, y = self.b_first[k], self.b_first[k + 1]
-                j = x + np.searchsorted(self.blocks[x:y], block)
-                bound += self.maxima[j] if j < y and self.blocks[j] == block else 0.0
-            if bound < 1 - SLACK:  # on to the next block, or to the next cursor's item if that comes first
-                after = now[order[len(upto)]] if len(upto) < len(order) else done
-                advance(upto, min((block + 1) * self.block, int(after)))
-            elif now[order[0]] == pivot:
-                if self.impacts[at[upto]].sum() >= 1 - SLACK:
-                    hits.append(pivot)
-                advance(upto, pivot + 1)
-            else:
-                advance(upto[now[upto] < pivot], pivot)
+                break
+            pivot = int(now[order[reach]])  # no item before it can reach 1: cursors there move up to it at once
+            k = int(np.searchsorted(open_, pivot // self.block))
+            if k == len(open_):
+                break
+            if open_[k] != pivot // self.block:  # its block's maxima don't reach 1, nor do those of the blocks up to the next open one
+                to = int(open_[k]) * self.block
+                continue
+            if pivot != to:
+                at, now = moved(pivot)
+            here = now == pivot
+            if self.impacts[at[here]].sum() >= 1 - SLACK:
+                hits.append(pivot)
+            to = pivot + 1
+        return hits
 
     def verified(self, grams: np.ndarray, item: int) -> float:
         """Share of the item's shingles in the passage; 0 if question or answer is missing."""
@@ -172,7 +172,9 @@ def _search(index: Index, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray
     chunk = (at - begin[rows[at]]) // step
     one = base[rows[at]] + chunk
     back = [chunk >= j for j in range(WINDOW)]  # a word lies in so many windows
-    key = np.unique(np.concatenate([(one[b] - j) * (1 << 32) + term[at][b] for j, b in enumerate(back)]))
+    key = np.concatenate([(one[b] - j) * (1 << 32) + term[at][b] for j, b in enumerate(back)])
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
     p, item = index.candidates(key >> 32, key & ((1 << 32) - 1), int(chunks.sum()))
     found: list[dict[int, float]] = [{} for _ in range(n)]
     of = np.searchsorted(base + chunks, p, "right")

@@ -91,7 +91,10 @@ def test_traversal_finds_what_scoring_all_items_finds():
         for t in terms:
             total[index.items[index.first[t] : index.first[t + 1]]] += index.impacts[index.first[t] : index.first[t + 1]]
         want = np.flatnonzero(total >= 1).tolist()
-        assert index.traversed(terms) == want
+        bound = np.zeros(-(-200 // index.block))
+        for t in terms:
+            bound[index.blocks[index.b_first[t] : index.b_first[t + 1]]] += index.maxima[index.b_first[t] : index.b_first[t + 1]]
+        assert index.traversed(terms, bound) == want
         assert index.candidates(np.zeros(len(terms), np.int64), terms, 1)[1].tolist() == want
         found += len(want)
     assert found > 30  # not an empty comparison
