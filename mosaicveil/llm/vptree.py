@@ -168,8 +168,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, factor: float = FACTOR, i
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     grouped = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups).cast("long")).alias("group"), "vec_id", "vector").repartition(groups, "group")
     packed = grouped.mapInPandas(_packs(BLOCK_ROWS), _PACK).select(every(lanes).alias("lane"), "group", F.lit(0).alias("shard"), "part", "dims", "ids", "data")
-    dealt = shards.select(F.pmod(F.xxhash64("part"), F.lit(lanes)).alias("lane"), every(groups).alias("group"), F.lit(1).alias("shard"), "part", "dims", "ids", "data")
-    rows = packed.unionByName(dealt).repartition(lanes * groups, "lane", "group").sortWithinPartitions("lane", "group", "shard", "part")
+    # shards in turn, each packing task from a lane of its own on
+    turn = F.pmod(F.expr("shiftright(part, 32) + (part & 4294967295)"), F.lit(lanes).cast("long"))
+    dealt = shards.select(turn.alias("lane"), every(groups).alias("group"), F.lit(1).alias("shard"), "part", "dims", "ids", "data")
+    rows = packed.unionByName(dealt).repartitionById(lanes * groups, (F.col("lane") * groups + F.col("group")).cast("int")).sortWithinPartitions("lane", "group", "shard", "part")
     found = rows.mapInPandas(_searcher(k, factor, repeats), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
