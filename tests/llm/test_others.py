@@ -80,4 +80,4 @@ def test_licence_table_of_the_callers_own(spark):
     known = spark.createDataFrame([("X-1", "The X Terms\nhold here."), ("Y-1", "Under Y terms"), ("empty", "")], "license_id string, text string")
     docs = spark.createDataFrame([(1, "the x terms HOLD here", "k"), (2, "first\nUnder Y terms.\nlast", "k"), (3, "", "k"), (4, None, "k")], "doc_id long, text string, known string")
     got = {r.doc_id: (r.license_id, r.notices) for r in licenses.scan(spark, docs, known, gate="").collect()}
-    assert got == {1: ("X-1", ""), 2: (None, "Y-1"), 3: (None, ""), 4: (None, "")}
+    assert got == {1: ("X-1", "X-1"), 2: (None, "Y-1"), 3: (None, ""), 4: (None, "")}
