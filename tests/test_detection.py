@@ -166,6 +166,12 @@ def test_lenient_scores(spark):
     assert loose.recall == 1.0 and loose.precision == 0.6667
 
 
+def test_long_house_numbers_are_no_pin_codes(spark):
+    whole = "Flat No. 131766, Mill Road, Pune 411 001, India"
+    text = "address: Flat 131766, Old Town, East End\naddress: Plot no: 131766, Old Town, East End\nend. It lies at " + whole + ". More"
+    assert found(spark, text) == {("ADDRESS", "Flat 131766, Old Town, East End"), ("ADDRESS", "Plot no: 131766, Old Town, East End"), ("ADDRESS", whole)}
+
+
 def test_address_pseudonyms_have_pin_codes_for_pin_codes(spark):
     surfaces = ("Plot 131766, Mill Road, Pune 411 001, India", "Plot No. 1317660, Mill Road, Pune 411001", "H.No. 131766, Mill Road, Pune", "Mill Road, Pune, PIN code No. 411 001", "Mill Road, Tower East 411 001")
     made = spark.createDataFrame([(x,) for x in surfaces], "x string").select("x", fakes.fake_address(F.col("x"), "s").alias("made")).collect()
