@@ -177,3 +177,10 @@ def test_address_pseudonyms_have_pin_codes_for_pin_codes(spark):
     made = spark.createDataFrame([(x,) for x in surfaces], "x string").select("x", fakes.fake_address(F.col("x"), "s").alias("made")).collect()
     gaps = {r.x: re.findall(r"\b9\d{2}(\s?)\d{3}\b", r.made) for r in made}
     assert [gaps[x] for x in surfaces] == [[" "], [""], [], [" "], [" "]], made
+
+
+def test_words_said_over_and_over_and_odd_letters_are_no_names():
+    at = lambda text: [x[3] for x in names.find_people(text)]
+    assert at("Tara " * 9 + "de") == at("Tara Tara Tara de") == at("Enlich schß. Ö. Das. Ein") == []
+    assert at("by Tara Mehta here") == ["Tara Mehta"] and at("by K. R. Das here") == ["K. R. Das"]
+    assert at("by Ö. Kiran Das here") == ["Kiran Das"] and at("by Ahmed Ali here") == ["Ahmed Ali"] and at("by Ötztal Das here") == ["Ötztal Das"]
