@@ -33,9 +33,10 @@ from .common import forget, id_crc, keep, partitions, release
 from .textops import U64, mix, slices, trim, word_bounds, word_hashes
 
 DEPTH, FREQUENT = 5, 1 << 19
-SPLIT, SLICE = 3, 6 << 20
-#: Shards for each shuffle partition; a task holds one shard at a time.
-SHARDS = 4
+SPLIT, SLICE = 3, 4 << 20
+#: Shards for each task of the shuffles by shard, which holds one at a time, and bytes of text that such a task stands for at most: a
+#: shard's tables are many times its keys, so there are more of them the more text there is, whatever the number of shuffle partitions.
+SHARDS, TASK = 4, 16 << 20
 _START, _STOP = 0xFE, 0xFF  # bytes that UTF-8 does not use
 _END_TOKEN = U64(0x6A09E667F3BCC909)
 _HOLD = 3_000_000  # keys that a task holds before it counts them
@@ -379,7 +380,7 @@ def _keys(data: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0].astype(U64)
 
 
-_SLICE = "slice long, doc_id array<long>, held_out array<boolean>, offs binary, text binary"
+_SLICE = "slice long, doc_id array<long>, held_out array<boolean>, offs binary, text binary, size long"
 
 
 def _packer(most: int):
@@ -395,7 +396,7 @@ def _packer(most: int):
             held.clear()
             ids, folds, sizes = pa.concat_arrays(ids), pa.concat_arrays(folds), np.concatenate(sizes)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, folds)]
-            out = pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists, pa.array([np.r_[0, np.cumsum(sizes)].astype(np.int64).tobytes()]), pa.array([np.concatenate(texts).tobytes()])], ["slice", "doc_id", "held_out", "offs", "text"])
+            out = pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists, pa.array([np.r_[0, np.cumsum(sizes)].astype(np.int64).tobytes()]), pa.array([np.concatenate(texts).tobytes()]), pa.array([int(sizes.sum())], pa.int64())], ["slice", "doc_id", "held_out", "offs", "text", "size"])
             row += len(ids)
             return out
 
@@ -436,8 +437,10 @@ def _all_grams(offs, text, held: np.ndarray | None = None) -> np.ndarray:
 
 def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The shards of sorted keys, ascending, and the order of the keys that goes with them."""
-    shard = (mix((keys >> U64(8)) & _mask(SPLIT)) % U64(shards)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
+    shard = np.empty(len(keys), np.int32)
+    for at in range(0, len(keys), 1 << 18):  # what mixing holds stays small
+        shard[at : at + (1 << 18)] = mix((keys[at : at + (1 << 18)] >> U64(8)) & _mask(SPLIT)) % U64(shards)
+    order = np.argsort(shard, kind="stable").astype(np.int32)
     return shard[order], order
 
 
@@ -521,9 +524,13 @@ def _scorer(shared, n_tokens: int, n_distinct: int, floor: int, shards: int):
         raw, offsets = texts["text"][0].as_buffer(), texts["offs"][0].as_buffer()
         known_keys, _ = _distinct(_all_grams(offsets, raw))
         told = sorted(zip(answers["shard"].to_pylist(), answers["bits"].to_pylist()))
-        known_bits = np.empty(len(known_keys))
-        known_bits[_dealt(known_keys, shards)[1]] = np.concatenate([np.frombuffer(b, np.float32) for _, b in told])
-        del told
+        trim()
+        known_bits, order, at = np.empty(len(known_keys), np.float32), _dealt(known_keys, shards)[1], 0
+        for _, b in told:
+            known_bits[order[at : at + len(b) // 4]] = np.frombuffer(b, np.float32)
+            at += len(b) // 4
+        del told, order
+        trim()
         ids, folds = (pa.concat_arrays([x.values for x in texts[c].combine_chunks().slice(0, 1)]) for c in ("doc_id", "held_out"))
         row, out = texts["slice"][0].as_py(), []
         for a, b, buf, offs in _runs(offsets, raw):
@@ -610,10 +617,15 @@ def fit(docs: DataFrame, depth: int = DEPTH, capacity: int | None = None) -> tup
     return model, counts.where("kind = 1").select("key", "n")
 
 
+def tasks(packed: DataFrame) -> int:
+    """Tasks of a shuffle by shard: the shuffle partitions, or as many as the bytes of text ask for."""
+    return max(partitions(packed.sparkSession), -(-(packed.agg(F.sum("size")).first()[0] or 0) // TASK))
+
+
 def answers(packed: DataFrame, shards: int) -> DataFrame:
     """(slice, shard, bits): log2 probability, by the whole tree of the training rows, of all symbols in context that a slice has."""
     spark = packed.sparkSession
-    n = partitions(spark)
+    n = -(-shards // SHARDS)
     asked = keep(packed.mapInArrow(_asker(shards), "shard int, slice long, keys binary, n binary"), "asked")
     trees = asked.select("shard", "keys", "n").repartition(n, "shard").sortWithinPartitions("shard")
     trees = keep(trees.mapInArrow(_grow, "shard int, keys binary, n binary, node array<long>, z array<double>, o array<double>, w array<double>"), "trees")
@@ -643,7 +655,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT, slice_bytes: int = SLICE) -
     trim()
     shared = docs.sparkSession.sparkContext.broadcast(table)
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
-    shards = SHARDS * partitions(docs.sparkSession)
+    shards = SHARDS * tasks(packed)
     told = answers(packed, shards)
     scored = packed.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_scorer(shared, n, v, floor, shards), kinds)
     if floor > 1:

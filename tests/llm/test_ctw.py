@@ -118,3 +118,17 @@ def test_scored_rows_equal_plain_recursion(spark):
     train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10]
     for r in ctw.score(docs, slice_bytes=40).collect():
         assert math.isclose(r.score, brute(train, texts[r.doc_id], ctw.DEPTH), rel_tol=1e-4)
+
+
+def test_shards_follow_the_text(spark, monkeypatch):
+    """More text makes more shards, whatever the number of shuffle partitions, and the same scores."""
+    docs = spark.createDataFrame([(k, f"text {k} of words {k * 7} " * 20) for k in range(60)], "doc_id long, text string")
+    dealt, whole = [], ctw.answers
+    monkeypatch.setattr(ctw, "answers", lambda packed, shards: dealt.append(shards) or whole(packed, shards))
+    scores = []
+    for size in (ctw.TASK, 2000):
+        monkeypatch.setattr(ctw, "TASK", size)
+        scores.append({r.doc_id: r.score for r in ctw.score(docs, slice_bytes=3000).collect()})
+    least = ctw.SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt[0] == least < dealt[1]
+    assert all(abs(scores[1][k] - v) < 1e-3 for k, v in scores[0].items()) and len(scores[1]) == 60
