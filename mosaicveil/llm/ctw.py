@@ -40,6 +40,8 @@ SHARDS, TASK = 4, 16 << 20
 _START, _STOP = 0xFE, 0xFF  # bytes that UTF-8 does not use
 _END_TOKEN = U64(0x6A09E667F3BCC909)
 _HOLD = 3_000_000  # keys that a task holds before it counts them
+#: Rows that go to Python at once: documents, and keys or answers of a slice and shard; whole slices go one by one.
+_DOCS, _ASKS = 1000, 256
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -626,14 +628,14 @@ def answers(packed: DataFrame, shards: int) -> DataFrame:
     """(slice, shard, bits): log2 probability, by the whole tree of the training rows, of all symbols in context that a slice has."""
     spark = packed.sparkSession
     n = -(-shards // SHARDS)
-    asked = keep(packed.mapInArrow(_asker(shards), "shard int, slice long, keys binary, n binary"), "asked")
+    asked = keep(packed.mapInArrow(_asker(shards), "shard int, slice long, keys binary, n binary"), "asked", 1)
     trees = asked.select("shard", "keys", "n").repartition(n, "shard").sortWithinPartitions("shard")
-    trees = keep(trees.mapInArrow(_grow, "shard int, keys binary, n binary, node array<long>, z array<double>, o array<double>, w array<double>"), "trees")
+    trees = keep(trees.mapInArrow(_grow, "shard int, keys binary, n binary, node array<long>, z array<double>, o array<double>, w array<double>"), "trees", _ASKS)
     release(spark)  # what was shuffled to make the trees is of no more use
     sums = trees.select(F.inline(F.arrays_zip("node", "z", "o", "w"))).groupBy("node").agg(*(F.sum(c).alias(c) for c in "zow")).orderBy("node").toArrow()
     shared = spark.sparkContext.broadcast(top_of(sums["node"].to_numpy().astype(np.int64).view(U64), *(sums[c].to_numpy() for c in "zow")))
     both = trees.select("shard", F.lit(-1).cast("long").alias("slice"), "keys", "n").unionByName(asked.withColumn("n", F.lit(None).cast("binary")))
-    told = keep(both.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_answerer(shared), "slice long, shard int, bits binary"), "answers")
+    told = keep(both.repartition(n, "shard").sortWithinPartitions("shard", "slice").mapInArrow(_answerer(shared), "slice long, shard int, bits binary"), "answers", _ASKS)
     forget(asked, trees)
     release(spark)
     return told
@@ -642,9 +644,9 @@ def answers(packed: DataFrame, shards: int) -> DataFrame:
 def score(docs: DataFrame, frequent: int = FREQUENT, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.pmod(id_crc(), F.lit(10)) == 0).alias("held_out"))
-    packed = keep(rows.mapInArrow(_packer(slice_bytes), _SLICE), "slices")
+    packed = keep(rows.mapInArrow(_packer(slice_bytes), _SLICE), "slices", _DOCS, large=True)
     train = rows.where("not held_out").select("text")
-    counts = keep(train.mapInArrow(lambda batches: _count(batches, (1,)), "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    counts = keep(train.mapInArrow(lambda batches: _count(batches, (1,)), "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts", _DOCS)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
     floor = _least([(r.level, r.n) for r in sizes], frequent) if sizes else 1

@@ -1,3 +1,4 @@
+import glob
 import math
 import re
 import zlib
@@ -5,8 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
-from mosaicveil.llm import ctw
+from mosaicveil.llm import common, ctw
 from mosaicveil.llm.textops import buffers
 
 
@@ -132,3 +134,29 @@ def test_shards_follow_the_text(spark, monkeypatch):
     least = ctw.SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert dealt[0] == least < dealt[1]
     assert all(abs(scores[1][k] - v) < 1e-3 for k, v in scores[0].items()) and len(scores[1]) == 60
+
+
+def test_slices_reach_python_one_by_one(spark, monkeypatch):
+    asker = ctw._asker
+
+    def alone(shards):
+        run = asker(shards)
+
+        def seen(batches):
+            for b in batches:
+                assert len(b) == 1, len(b)
+                yield from run(iter([b]))
+
+        return seen
+
+    monkeypatch.setattr(ctw, "_asker", alone)
+    docs = spark.createDataFrame([(k, f"some words {k * k} " * 40) for k in range(200)], "doc_id long, text string").coalesce(1)
+    assert ctw.score(docs, slice_bytes=1 << 12).count() == 200
+    assert spark.conf.get(common._BATCH, None) is None
+
+
+def test_large_rows_are_kept_in_small_row_groups(spark):
+    kept = common.keep(spark.range(0, 24, 1, 1).selectExpr("id", "array_join(transform(sequence(1, 30000), k -> sha2(concat(id, ' ', k), 256)), '') AS x"), "large", large=True)
+    (part,) = glob.glob(kept.kept_at.removeprefix("file://") + "/part-*")
+    told = pq.read_metadata(part)
+    assert max(told.row_group(k).total_byte_size for k in range(told.num_row_groups)) < 16 << 20 and kept.count() == 24
